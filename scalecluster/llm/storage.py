@@ -1,0 +1,47 @@
+"""Scratch tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="scalecluster-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: the
+    lineage ends there, and a lost executor loses nothing."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark deletes them once
+    the driver has collected the objects that stood for them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
