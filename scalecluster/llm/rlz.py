@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .storage import materialise, settle
+from .storage import discard, materialise, settle
 from .textkit import NOT_SPACE, Words, joined_words, pieces, shingle_hashes
 
 WINDOW = 13
@@ -123,21 +123,32 @@ def locate_pairs(row_a: np.ndarray, value_a: np.ndarray, row_b: np.ndarray, valu
 def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(_doc, _owned array<struct<window, owner>>)`` of the documents that
     have windows owned by a smaller id; docs has ``_id, _text``."""
-    spark = docs.sparkSession
-    rows = anchors(docs.filter("_id is not null"), window, anchor)
-    rows = materialise(rows, "anchors")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor")
-    suspects = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_anchors"))
-    suspects = materialise(suspects, "suspects")
-    settle(spark)
+    suspects = _suspects(docs, window, anchor)
+    settle(docs.sparkSession)
     marked = docs.join(suspects, docs["_id"] == suspects["doc_id"]).select("_id", "_text", "_anchors")
     rows = materialise(shared_windows(marked, window, anchor), "windows")
-    settle(spark)
+    discard(suspects)
+    del marked, suspects
+    settle(docs.sparkSession)
+    owned = _owned(rows)
+    discard(rows)
+    settle(docs.sparkSession)
+    return owned
+
+
+def _suspects(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(doc_id, _anchors)``: each document's minimisers that another one has, too."""
+    rows = materialise(anchors(docs.filter("_id is not null"), window, anchor), "anchors")
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor")
+    suspects = materialise(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_anchors")), "suspects")
+    discard(rows)
+    return suspects
+
+
+def _owned(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_b")).filter("owner < _b").select("window", "owner")
     owned = rows.join(first, "window").filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("window", "owner")).alias("_owned"))
-    owned = materialise(owned.withColumnRenamed("doc_id", "_doc"), "owned")
-    settle(spark)
-    return owned
+    return materialise(owned.withColumnRenamed("doc_id", "_doc"), "owned")
 
 
 class Parse:
@@ -172,10 +183,6 @@ class Parse:
         return np.diff(np.concatenate([[0], np.cumsum(self.removed)])[self.words.first])
 
 
-def _with_owners(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    return docs, owners(docs.select("_id", "_text"), window, anchor)
-
-
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)``, one row for each input row."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

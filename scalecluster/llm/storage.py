@@ -29,7 +29,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     lineage ends there, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,6 +50,9 @@ def settle(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished phases: Spark deletes them once
     the driver has collected the objects that stood for them."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
