@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, rlz, sharding, simhash, tokenstore
+from . import decontaminate, langid, logbilinear, mih, packing, rlz, sharding, simhash, tokenstore, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +16,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.round_trip(table(spark, sf_dir, "documents"))
 
@@ -33,12 +46,41 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_decontamination, op5_packing, op7_token_store, op8_substring_dedup, op9_simhash)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mih.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_toxicity, op3_decontamination, op4_lm_scoring, op5_packing, op6_language_id,
+        op7_token_store, op8_substring_dedup, op9_simhash, op10_nearest_neighbours,
+    )
+}
+
+#: op1's SQL splits by the same md5 bits; the others can't be put in SQL and
+#: are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": """
+WITH docs AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits
+  FROM documents
+), sums AS (
+  SELECT depth, substr(bits, 1, CAST(depth AS BIGINT)) AS prefix, sum(n_bytes) AS b, count(*) AS n
+  FROM docs, generate_series(0, 40) AS d(depth) GROUP BY ALL
+), fitting AS (
+  SELECT docs.doc_id, min(depth) AS depth
+  FROM docs JOIN sums ON substr(bits, 1, CAST(depth AS BIGINT)) = prefix
+  WHERE b <= 1048576 OR n = 1 GROUP BY docs.doc_id
+)
+SELECT docs.doc_id, n_bytes, substr(bits, 1, CAST(depth AS BIGINT)) AS shard_id,
+       CAST(depth AS INTEGER) AS local_depth, n_bytes > 1048576 AS oversize
+FROM docs JOIN fitting USING (doc_id)
+""",
+}

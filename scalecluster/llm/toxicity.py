@@ -33,7 +33,7 @@ from .textkit import LOWER, pieces, utf8
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-FEATURES = 4096
+FEATURES = 2048
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 U64 = np.uint64
@@ -83,7 +83,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[pa.Array], labels: np.ndarray, weights: np.ndarray, keep: int = FEATURES, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> Model:
+def fit(texts: list[pa.Array], labels: np.ndarray, weights: np.ndarray, keep: int = FEATURES, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 250) -> Model:
     """The classifier from arrays of texts and, for all rows, labels (0, 1) and weights."""
     size = 1 << BITS
     count = [np.zeros(size), np.zeros(size)]
