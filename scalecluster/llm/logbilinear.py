@@ -39,7 +39,7 @@ from .textkit import NOT_SPACE, Words, pieces
 from .toxicity import held_out
 
 WORD_CLASSES, ENDING_CLASSES = 160, 94
-CONTEXT, WIDTH = 6, 16
+CONTEXT, WIDTH = 6, 12
 NOISE, BATCH = 32, 2048
 HOT_TOKENS = 1 << 19
 #: Text bytes of the sample for the start, about.
