@@ -37,6 +37,8 @@ MAX_DOCUMENTS, MAX_WINDOWS = 500, 16
 #: Languages that are learned at most: the most frequent ones.
 MAX_LANGUAGES = 64
 EPOCHS, BATCH, RATE = 5, 256, 0.01
+#: Small samples are passed over more often.
+MIN_STEPS = 200
 FOLDS, HELD_OUT = 3, 1
 LETTER = regex.compile(r"\p{L}")
 f4 = np.float32
@@ -193,7 +195,9 @@ def train_network(texts: list[bytes], labels: list[int], languages: int, hidden:
     y = np.array(y)[row]
     net = Network.random(languages, hidden)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    steps = epochs * -(-len(symbols) // BATCH)
+    batches = -(-len(symbols) // BATCH)
+    epochs = max(epochs, -(-MIN_STEPS // batches))
+    steps = epochs * batches
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(symbols))

@@ -33,7 +33,9 @@ from .textkit import LOWER, pieces, utf8
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-FEATURES = 2048
+FEATURES = 4096
+#: Log-likelihood ratio below which a feature tells nothing.
+LEAST_GAIN = 5.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 U64 = np.uint64
@@ -83,7 +85,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[pa.Array], labels: np.ndarray, weights: np.ndarray, keep: int = FEATURES, smooth: float = 1.0, ridge: float = 1e-3, steps: int = 250) -> Model:
+def fit(texts: list[pa.Array], labels: np.ndarray, weights: np.ndarray, keep: int = FEATURES, smooth: float = 1.0, ridge: float = 0.03, steps: int = 250, least_gain: float = LEAST_GAIN) -> Model:
     """The classifier from arrays of texts and, for all rows, labels (0, 1) and weights."""
     size = 1 << BITS
     count = [np.zeros(size), np.zeros(size)]
@@ -106,7 +108,7 @@ def fit(texts: list[pa.Array], labels: np.ndarray, weights: np.ndarray, keep: in
         gain = sum(np.nan_to_num(c * np.log(c / (m * both))) + np.nan_to_num((m - c) * np.log((m - c) / (m * (1 - both)))) for c, m in ((count[0], n[0]), (count[1], n[1])))
     gain[count[0] + count[1] < 3] = 0
     kept = np.sort(np.argsort(-gain, kind="stable")[:keep])
-    kept = kept[gain[kept] > 5]
+    kept = kept[gain[kept] > least_gain]
     place = np.full(size, -1)
     place[kept] = np.arange(len(kept))
     wanted = place >= 0
