@@ -290,6 +290,20 @@ def iso_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_cells(spark, sf_dir, 8, "isotropic").select("item_id", "c0", "c1")
 
 
+@query("""WITH b AS (SELECT min(c_acctbal) AS low, max(c_acctbal) - min(c_acctbal) AS span FROM customer),
+g AS (SELECT min(gap) AS least FROM (SELECT c_acctbal - lag(c_acctbal) OVER (ORDER BY c_acctbal) AS gap FROM (SELECT DISTINCT c_acctbal FROM customer)) WHERE gap > 0),
+grid AS (SELECT low, span, CAST(floor(log2(span / least)) AS INTEGER) AS bits FROM b, g),
+here AS MATERIALIZED (SELECT c_custkey AS item_id, greatest(0, least((CAST(1 AS BIGINT) << bits) - 1, CAST(floor((c_acctbal - low) / (span / CAST(CAST(1 AS BIGINT) << bits AS DOUBLE))) AS BIGINT))) AS c, bits FROM customer, grid),
+spots AS (SELECT DISTINCT s AS scale, c, CAST(floor(pow(1.5::DOUBLE, bits - s)) AS BIGINT) AS n FROM here, (VALUES (14), (16)) AS t(s)),
+marked AS (SELECT scale, c, CASE WHEN c - lag(c) OVER (PARTITION BY scale ORDER BY c) <= n THEN 0 ELSE 1 END AS new FROM spots),
+islands AS (SELECT scale, c, sum(new) OVER (PARTITION BY scale ORDER BY c) AS island FROM marked),
+labels AS (SELECT scale, c, min(c) OVER (PARTITION BY scale, island) AS cluster FROM islands)
+SELECT scale, item_id, cluster FROM here JOIN labels USING (c)""")
+def weber_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_columns(_table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"])
+    return engine.run_weber(rows, 1, 0.5, scales=[14, 16])
+
+
 # --- signatures --------------------------------------------------------------
 
 MIN_SCALES = (36, 37, 38, 39)

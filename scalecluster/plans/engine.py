@@ -6,8 +6,10 @@ statistics, which fixes the grid, and the check of the number of edges.
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,9 +57,10 @@ def _scales(config: ClusterConfig, most: int) -> list[int]:
     return found
 
 
-def run_sd(items: DataFrame, config: ClusterConfig, d: int) -> SdRun | None:
+def run_sd(items: DataFrame, config: ClusterConfig, d: int, largest: int | None = None) -> SdRun | None:
     """items: ``item_id, vec``, and ``tokens`` if the largest scale is to follow
-    from the numbers' text; without it their decimal text is taken."""
+    from the numbers' text; without it their decimal text is taken.  Cells are
+    computed at ``largest``, or else at the largest scale asked for."""
     if d > config.max_sd_dimensions:
         raise ValueError(f"{d} dimensions have {3**d} neighbours a cell; use MIN above {config.max_sd_dimensions}")
     digits = {}
@@ -76,7 +79,7 @@ def run_sd(items: DataFrame, config: ClusterConfig, d: int) -> SdRun | None:
         scales = _scales(config, stats.max_sd_scale(found, digits))
     if not scales:
         return None
-    largest = max(scales)
+    largest = largest or max(scales)
     names = [f"c{j}" for j in range(d)]
     cells = sdcode.cell_columns(items, found, largest, config.grid).select("item_id", *names)
     _ensure_checkpoint_dir(items.sparkSession)
@@ -120,6 +123,45 @@ def run_min(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     return every.join(found, ["scale", "item_id"], "left").withColumn("cluster", F.coalesce("cluster", "item_id"))
 
 
+def run_weber(items: DataFrame, d: int, weber: float = 1.0, span: float = 0.0, scales: list[int] | None = None, local_edges: int = 1_000_000) -> DataFrame:
+    """``(scale, item_id, cluster)`` on one isotropic grid, scales from 0.
+
+    The grid is as fine as the least distance of two values allows (floor of
+    log2 of the range over it; ``span`` replaces the range if given).  With a
+    growth of 1 scale s is the grid of s + 1 bits; else all scales use the
+    finest grid and a neighbourhood of (1 + weber)^(bits - s) cells on each
+    side, which must not exceed 20."""
+    found = stats.column_stats(items, d).collect()
+    least = stats.min_gap(items).agg(F.min("gap")).first()[0]
+    kind = items.schema["item_id"].dataType.simpleString()
+    if least is None:  # all values are equal
+        return items.select(F.lit(0).alias("scale"), "item_id", F.lit(0).cast("long").alias("cluster"))
+    most = span or max(r["max"] for r in found) - min(r["min"] for r in found)
+    bits = max(1, int(math.log2(most / least)))
+    every = range(stats.scale_count(weber, most, least))
+    wanted = [s for s in (every if scales is None else scales) if s in every and (weber != 1 or s < bits)]
+    if not wanted:
+        return items.sparkSession.createDataFrame([], f"scale int, item_id {kind}, cluster long")
+    if weber == 1:
+        config = ClusterConfig(scales=tuple(s + 1 for s in wanted), standardise=False, grid="isotropic", local_edges=local_edges)
+        return run_sd(items, config, d, bits).items().withColumn("scale", F.col("scale") - 1)
+    radii = {s: stats.neighbour_radius(weber, bits, s) for s in wanted}
+    _ensure_checkpoint_dir(items.sparkSession)
+    cells = sdcode.cell_columns(items.select("item_id", "vec"), found, bits, "isotropic")
+    nodes = sdcode.occupied(cells, d, bits, [bits]).checkpoint()
+    parts = [sdcode.neighbour_pairs(nodes, d, n).withColumn("scale", F.lit(s)) for s, n in radii.items() if n]
+    code = nodes.select("code", *[f"c{j}" for j in range(d)])
+    labelled = code.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in wanted])))
+    if parts:
+        pairs = reduce(DataFrame.unionByName, parts).checkpoint()
+        labels = grouped_components(pairs, ["scale"], local_edges).withColumnRenamed("node", "code")
+        labelled = labelled.join(labels, ["scale", "code"], "left").withColumn("cluster", F.coalesce("component", "code"))
+    else:
+        labelled = labelled.withColumn("cluster", F.col("code"))
+    names = [f"c{j}" for j in range(d)]
+    return cells.select("item_id", *names).join(labelled.select("scale", "cluster", *names), names).select("scale", "item_id", "cluster")
+
+
 def cluster(items: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
     """``(scale, item_id, cluster)`` of items ``(item_id, vec array<double>[, tokens])``.
 

@@ -226,3 +226,40 @@ def test_entry_contract():
 
     assert set(catalogue.ORACLE_SQL) == set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_weber_scales(spark):
+    r = random.Random(6)
+    rows = [(i, [round(r.random() * 20, 1), round(r.random() * 20, 1)]) for i in range(120)] + [(120 + i, rows_) for i, rows_ in enumerate([[0.0, 0.0], [0.0, 0.0]])]
+    items = spark.createDataFrame(rows, "item_id long, vec array<double>")
+    low = [min(v[j] for _, v in rows) for j in (0, 1)]
+    widest = max(max(v[j] for _, v in rows) - low[j] for j in (0, 1))
+    gaps = [b - a for j in (0, 1) for values in [sorted({v[j] for _, v in rows})] for a, b in zip(values, values[1:])]
+    most = max(max(v) for _, v in rows) - min(min(v) for _, v in rows)
+    bits = int(__import__("math").log2(most / min(gaps)))
+
+    def plain(scale_bits, radius):
+        width = widest / (1 << bits)
+        cells = [tuple(min((1 << bits) - 1, int((x - a) / width)) >> (bits - scale_bits) for x, a in zip(v, low)) for _, v in rows]
+        root = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if all(abs(x - y) <= radius for x, y in zip(cells[i], cells[j])):
+                    a, b = root[i], root[j]
+                    root = [b if x == a else x for x in root]
+        return root
+
+    def partition(labels_):
+        seen = {}
+        return [seen.setdefault(x, len(seen)) for x in labels_]
+
+    one = engine.run_weber(items, 2).cache()
+    for s in (1, 3):
+        assert partition(labels(one, s)) == partition(plain(s + 1, 1))
+    half = engine.run_weber(items, 2, 0.5, scales=[bits - 4, bits - 2, bits]).cache()
+    for s in (bits - 4, bits - 2, bits):
+        assert partition(labels(half, s)) == partition(plain(bits, int(1.5 ** (bits - s))))
+    same = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "item_id long, vec array<double>")
+    assert labels(engine.run_weber(same, 1), 0) == [0, 0]
+    with pytest.raises(ValueError):
+        engine.run_weber(items, 2, 0.9, scales=[0])
