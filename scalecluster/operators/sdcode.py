@@ -43,6 +43,18 @@ def cell_columns(items: DataFrame, stats: list, scale: int, grid: str = "per_dim
     return items.withColumns(out)
 
 
+def level_codes(items: DataFrame, stats: list, levels: int, vec: str = "vec") -> DataFrame:
+    """``items`` with ``levels array<bigint>``: each component in steps of a
+    ``levels``-th of its range, the maximum being ``levels``; NaN and constant
+    dimensions are 0."""
+    out = []
+    for r in sorted(stats, key=lambda r: r["dim"]):
+        x = F.get(vec, F.lit(r["dim"]))
+        step = (r["diff"] or 0.0) / levels
+        out.append(F.when(~F.isnan(x), F.floor((x - F.lit(r["min"])) / F.lit(step))).otherwise(0).cast("long") if step else F.lit(0).cast("long"))
+    return items.withColumn("levels", F.array(*out))
+
+
 def fits_number(d: int, scale: int) -> bool:
     return d * scale <= CODE_BITS
 

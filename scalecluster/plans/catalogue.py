@@ -290,6 +290,14 @@ def iso_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_cells(spark, sf_dir, 8, "isotropic").select("item_id", "c0", "c1")
 
 
+@query(f"""WITH src AS ({PART_XY}), b AS (SELECT min(x0) AS a0, min(x1) AS a1, (max(x0) - min(x0)) / 12 AS g0, (max(x1) - min(x1)) / 12 AS g1 FROM src)
+SELECT item_id, CAST(floor((x0 - a0) / g0) AS BIGINT) AS level0, CAST(floor((x1 - a1) / g1) AS BIGINT) AS level1 FROM src, b""")
+def int_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _part(spark, sf_dir)
+    out = sdcode.level_codes(rows, stats.column_stats(rows, 2).collect(), 12)
+    return out.select("item_id", F.get("levels", F.lit(0)).alias("level0"), F.get("levels", F.lit(1)).alias("level1"))
+
+
 @query("""WITH b AS (SELECT min(c_acctbal) AS low, max(c_acctbal) - min(c_acctbal) AS span FROM customer),
 g AS (SELECT min(gap) AS least FROM (SELECT c_acctbal - lag(c_acctbal) OVER (ORDER BY c_acctbal) AS gap FROM (SELECT DISTINCT c_acctbal FROM customer)) WHERE gap > 0),
 grid AS (SELECT low, span, CAST(floor(log2(span / least)) AS INTEGER) AS bits FROM b, g),
