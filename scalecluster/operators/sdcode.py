@@ -79,16 +79,28 @@ def number_as_text(code: Column, bits: Column) -> Column:
     return F.lpad(F.bin(code), bits, "0")
 
 
+def occupied_base(cells: DataFrame, d: int) -> DataFrame:
+    """``(c0.., items)`` of the occupied cells at the largest scale."""
+    return cells.groupBy(*[f"c{j}" for j in range(d)]).agg(F.count(F.lit(1)).alias("items"))
+
+
+def at_scales(base: DataFrame, d: int, scale: int, scales: list[int], *more: str) -> DataFrame:
+    """``(scale, c0.., *more)``: rows with cells at ``scale``, for all ``scales``."""
+    rows = base.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
+    return rows.select("scale", *[F.expr(f"shiftright(c{j}, {scale} - scale)").alias(f"c{j}") for j in range(d)], *more)
+
+
 def occupied(cells: DataFrame, d: int, scale: int, scales: list[int]) -> DataFrame:
     """``(scale, code, c0.., items)`` of the occupied cells at all ``scales``.
 
     Items are first counted by their cells at the largest scale, so what is
     repeated for the scales is the number of cells, not of items."""
+    return nodes_of(occupied_base(cells, d), d, scale, scales)
+
+
+def nodes_of(base: DataFrame, d: int, scale: int, scales: list[int]) -> DataFrame:
     names = [f"c{j}" for j in range(d)]
-    base = cells.groupBy(*names).agg(F.count(F.lit(1)).alias("items"))
-    at = base.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
-    shifted = at.select("scale", *[F.expr(f"shiftright({n}, {scale} - scale)").alias(n) for n in names], "items")
-    nodes = shifted.groupBy("scale", *names).agg(F.sum("items").alias("items"))
+    nodes = at_scales(base, d, scale, scales, "items").groupBy("scale", *names).agg(F.sum("items").alias("items"))
     return nodes.withColumn("code", node_code(names, d, scale))
 
 

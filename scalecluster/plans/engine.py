@@ -22,10 +22,11 @@ from .config import ClusterConfig
 
 @dataclass
 class SdRun:
-    """A grid clustering: item cells at the largest scale, occupied cells of all
-    scales with their labels (the least code of the component)."""
+    """A grid clustering: item cells at the largest scale, the occupied ones of
+    them, and those of all scales with their labels (the component's least code)."""
 
     cells: DataFrame
+    base: DataFrame
     nodes: DataFrame
     d: int
     largest: int
@@ -36,11 +37,16 @@ class SdRun:
         return self.nodes.groupBy("scale", "cluster").agg(F.count(F.lit(1)).alias("codes"), F.sum("items").alias("items"))
 
     def items(self) -> DataFrame:
-        """``(scale, item_id, cluster)``."""
+        """``(scale, item_id, cluster)``.  Labels of all scales are first joined
+        to the occupied cells of the largest, so items are joined once."""
         names = [f"c{j}" for j in range(self.d)]
-        at = self.cells.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in self.scales])))
-        at = at.select("item_id", "scale", *[F.expr(f"shiftright({n}, {self.largest} - scale)").alias(n) for n in names])
-        return at.join(self.nodes.select("scale", *names, "cluster"), ["scale", *names]).select("scale", "item_id", "cluster")
+        own = [f"b{j}" for j in range(self.d)]
+        base = self.base.select(*names, *[F.col(n).alias(b) for n, b in zip(names, own)])
+        at = sdcode.at_scales(base, self.d, self.largest, self.scales, *own)
+        labels = at.join(self.nodes.select("scale", *names, "cluster"), ["scale", *names])
+        labels = labels.groupBy(*own).agg(F.collect_list(F.struct("scale", "cluster")).alias("_labels"))
+        joined = self.cells.join(labels.withColumnsRenamed(dict(zip(own, names))), names)
+        return joined.select("item_id", F.explode("_labels").alias("_l")).select("_l.scale", "item_id", "_l.cluster")
 
 
 def resolve_model(config: ClusterConfig, d: int) -> str:
@@ -83,11 +89,12 @@ def run_sd(items: DataFrame, config: ClusterConfig, d: int, largest: int | None
     names = [f"c{j}" for j in range(d)]
     cells = sdcode.cell_columns(items, found, largest, config.grid).select("item_id", *names)
     _ensure_checkpoint_dir(items.sparkSession)
-    nodes = sdcode.occupied(cells, d, largest, scales).checkpoint()
+    base = sdcode.occupied_base(cells, d).checkpoint()
+    nodes = sdcode.nodes_of(base, d, largest, scales).checkpoint()
     pairs = sdcode.neighbour_pairs(nodes, d, config.radius).checkpoint()
     labels = grouped_components(pairs, ["scale"], config.local_edges).withColumnRenamed("node", "code")
     named = nodes.join(labels, ["scale", "code"], "left").withColumn("cluster", F.coalesce("component", "code")).drop("component")
-    return SdRun(cells, named, d, largest, scales)
+    return SdRun(cells, base, named, d, largest, scales)
 
 
 def min_ladder(config: ClusterConfig, d: int) -> list[tuple[int, float]]:
