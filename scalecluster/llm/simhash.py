@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, local_roots
 from ..session import map_arrow, ship_package
 from .storage import materialise
 from .textkit import NOT_SPACE, Words, pieces, spans
@@ -97,16 +98,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def prefix_bits(n: int, radius: int) -> int:
     """Bits of the variants' prefix, so that a task holds about TASK_VARIANTS."""
     half = radius // 2
-    ball = sum(_choose(64, i) for i in range(half + 1))
+    ball = sum(comb(64, i) for i in range(half + 1))
     return int(np.clip(np.ceil(np.log2(max(1, n * ball / TASK_VARIANTS))), 4, 24))
 
 
-def _choose(n: int, k: int) -> int:
-    from math import comb
-
-    return comb(n, k)
-
-
 def ball_masks(bits: int, reach: int) -> np.ndarray:
     """All masks of ``bits`` low bits with at most ``reach`` set."""
     out = [0]
@@ -178,23 +173,6 @@ def ball_masks_cached(bits: int, reach: int) -> np.ndarray:
     return _masks[bits, reach]
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n nodes, by hooking and pointer jumping."""
-    root = np.arange(n)
-    while True:
-        ra, rb = root[a], root[b]
-        open_ = ra != rb
-        if not open_.any():
-            return root
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
-
 def links(distinct: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints (column ``fingerprint``)
     that join exactly those within ``radius`` bits into components."""

@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a local folder only where it is unset (tests)."""
+    context = spark.sparkContext._jsc.sc()
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="scalecluster-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="scalecluster-"))
+    return (path or context.getCheckpointDir().get()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
