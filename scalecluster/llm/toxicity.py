@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .textkit import LOWER, pieces, utf8
+from .textkit import LOWER, pieces, spans, utf8
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -58,16 +58,23 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
     found = []
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
-    row_end = offsets[1:]
+    sizes = np.diff(offsets)
+    rows = np.arange(len(sizes)) << BITS
     for n in ORDERS:
         if len(data) < n:
             continue
         feature = ((eight[: len(data) - n + 1] << U64(64 - 8 * n)) * MULTIPLIERS[n] >> U64(64 - BITS)).astype(np.int32)
-        at = np.arange(len(feature)) if wanted is None else np.flatnonzero(wanted[feature])
+        if wanted is None:  # every place at which n bytes of one row start
+            at = spans(offsets[:-1], np.maximum(sizes - n + 1, 0))
+            found.append(np.repeat(rows, np.maximum(sizes - n + 1, 0)) | feature[at])
+            continue
+        at = np.flatnonzero(wanted[feature])
         row = np.searchsorted(offsets, at, "right") - 1
-        whole = at + n <= row_end[row]
-        found.append(row[whole].astype(np.int64) << BITS | feature[at[whole]])
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        whole = at + n <= offsets[row + 1]
+        found.append(rows[row[whole]] | feature[at[whole]])
+    pairs = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    if len(pairs):
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -152,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y, used = [], [], 0
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", 1 << 20):
             if used < max_bytes:
                 texts.append(b.column(1).fill_null(""))
                 y.append(b.column(0).to_numpy())
