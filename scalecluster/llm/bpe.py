@@ -21,7 +21,9 @@ from tokenizers import Tokenizer
 from .textkit import hash_spans, spans, utf8
 
 END_ID = 0
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 2 << 20
 
 #: Bytes that can't be the first of a white-space character.
 VISIBLE = np.zeros(256, dtype=bool)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .bpe import default_vocabulary, encoder
+from .bpe import ENCODE_BYTES, default_vocabulary, encoder
 from .storage import materialise
 from .textkit import pieces, spans
 
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", ENCODE_BYTES):
             ids, off = enc.encode(b.column(1))
             n = np.diff(off)
             number = -(-n // capacity)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .bpe import default_vocabulary, encoder
+from .bpe import ENCODE_BYTES, default_vocabulary, encoder
 from .storage import scratch_path
 from .textkit import mix, pieces
 
@@ -161,7 +161,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         doc_ids, keys, lengths, ids = [], [], [], []
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", ENCODE_BYTES):
             got, off = enc.encode(b.column(2))
             if held and held + len(got) > shard_ids:
                 yield _record(part, seq, doc_ids, keys, lengths, ids, width, doc_ids[0].type)
