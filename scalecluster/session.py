@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of long texts would fill Arrow batches of the default size (64 MB) on
+#: both sides of each worker; unless the session has a size of its own, this one holds.
+BATCH_BYTES_KEY, BATCH_BYTES_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, once for each application: Python workers
     import what a task's function refers to."""
+    if spark.conf.get(BATCH_BYTES_KEY, BATCH_BYTES) == BATCH_BYTES_DEFAULT:
+        spark.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
