@@ -75,7 +75,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``(token, ending, n)`` over the texts of docs (``_text``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "_text"):
+        for b in pieces(batches, "_text", 4 << 20):  # the larger, the fewer rows are passed on
             t = Tokens(b.column(0))
             token, first, n = np.unique(t.hash, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(t.ending[first]), pa.array(n)], ["token", "ending", "n"])

@@ -28,9 +28,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _written.append(path)
     return out
 
 
+_written: list[str] = []
+
+
+def mark() -> int:
+    """A moment, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a moment, but those to keep."""
+    kept = {df._scratch_path for df in keep}
+    for path in _written[since:]:
+        if path not in kept:
+            remove(spark, path)
+    _written[since:] = [p for p in _written[since:] if p in kept]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing will read again."""
     for df in tables:

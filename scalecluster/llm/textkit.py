@@ -7,6 +7,7 @@ bounded by the piece size given to ``pieces`` plus one document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -62,18 +63,35 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and row offsets into them (rows + 1); null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(off, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _trimmer():
+    """glibc's malloc_trim, or nothing elsewhere."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except AttributeError:
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for the next tasks, and
+    what they keep is missing beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` text bytes, or one row."""
     for batch in batches:
@@ -85,6 +103,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        give_back()
+    give_back()
 
 
 class Words:
