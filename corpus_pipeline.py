@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalecluster.llm import decontaminate, packing, rlz, simhash, toxicity
-from scalecluster.llm.storage import materialise
+from scalecluster.llm.storage import mark, materialise, release
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
+    began = mark()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, began, docs)  # what the stage and its predecessors have left
     return docs
