@@ -3,14 +3,17 @@
 Texts are cut where the pre-tokenizer of this vocabulary always starts a new
 piece: before a space that a visible character follows, after an ASCII letter
 that no letter follows, and between a single line end and a visible character.  So
-the ids of the parts, concatenated, are the ids of the text.  Each distinct part is
-encoded once per worker and remembered (a bounded table), because the same
-words come again and again.
+the ids of the parts, concatenated, are the ids of the text.  The vocabulary's
+added tokens (``<|endoftext|>``) are matched before anything else, as the library
+does: each is a part of its own, and the text on either side is cut as if it
+ended or began there.  Each distinct part is encoded once per worker and
+remembered (a bounded table), because the same words come again and again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
@@ -40,7 +43,11 @@ LINE_END[0x09:0x0E] = True
 class PartEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take in spaces or need word bounds can't be parts")
+        longest = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self._reset()
 
     def _reset(self) -> None:
@@ -63,6 +70,14 @@ class PartEncoder:
         self.n_ids += len(flat)
         self.slots.update(zip(hashes, range(n, n + len(encoded))))
 
+    def _added_spans(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """(2, matches): starts and ends of added tokens, none across rows."""
+        if self.added is None or not self.added.search(raw):
+            return np.empty((2, 0), dtype=np.int64)
+        at = offsets.tolist()
+        found = [m.span() for a, b in zip(at, at[1:]) for m in self.added.finditer(raw, a, b)]
+        return np.array(found, dtype=np.int64).reshape(-1, 2).T
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each row with the end id, and row offsets (rows + 1)."""
         data, offsets = utf8(column)
@@ -74,6 +89,13 @@ class PartEncoder:
             cut[offsets[1:-1] - 1] = False  # a space that ends its row; an empty first row clears the spare last place
             cut[1 : len(data)] |= LETTER[data[:-1]] & NO_LETTER[data[1:]]
             cut[2 : len(data)] |= visible[:-2] & LINE_END[data[1:-1]] & visible[2:]
+        raw = data.tobytes()
+        added_start, added_end = self._added_spans(raw, offsets)
+        if len(added_start):
+            before = added_start[added_start > 0] - 1
+            cut[before[data[before] == 0x20]] = False  # a space that ends what stands before the token
+            cut[spans(added_start, added_end - added_start)] = False
+            cut[added_start] = cut[added_end] = True
         filled = offsets[:-1][np.diff(offsets) > 0]
         cut[filled] = True
         cut[len(data)] = False
@@ -86,7 +108,6 @@ class PartEncoder:
         found = [self.slots.get(k, -1) for k in keys]
         new = [i for i, s in enumerate(found) if s < 0]
         if new:
-            raw = data.tobytes()
             at = first[new]
             self._add([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             for i in new:

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from scalecluster.llm import textkit
 from scalecluster.llm.bpe import PartEncoder, default_vocabulary
@@ -11,6 +12,7 @@ from . import brute
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list(" \t\n\x0b\x1c\x00aB'sÉé1,.! 　 漢😀<|endoftext|>")), max_size=40)), max_size=12)
 ENCODER = PartEncoder(default_vocabulary())
+LIBRARY = Tokenizer.from_file(default_vocabulary())  # as it is: brute.encode's doesn't match special tokens
 
 
 @settings(max_examples=150, deadline=None)
@@ -35,6 +37,18 @@ def test_parts_give_the_library_ids(texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == brute.encode(texts)
 
 
+SPECIAL_TEXTS = st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "\t", "ab", "'s", "1", "é", "漢", "."]), max_size=12).map("".join)), max_size=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SPECIAL_TEXTS)
+def test_special_tokens_in_texts_give_the_library_ids(texts):
+    texts = ["end.<|endoftext|>Next", "cut <|endof", "text|>here", *texts]
+    ids, offsets = ENCODER.encode(pa.array(texts, pa.string()))
+    assert ids[:5].tolist() == [437, 13, 50256, 10019, 0]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [LIBRARY.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_hashes_do_not_depend_on_segments(monkeypatch):
     texts = pa.array(["some words " * 50, "x" * 500, "some words"])
     a = textkit.Words(texts, textkit.NOT_SPACE, True).hashes()
