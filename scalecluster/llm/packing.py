@@ -1,10 +1,10 @@
 """Packing of token sequences as a cutting-stock problem.
 
 A document of n ids is cut into pieces of ``capacity`` ids and a tail.  Pieces
-whose lengths round up to the same multiple of ``grain`` are alike, so the
-problem is a histogram of capacity / grain numbers, whatever the corpus.  Column generation solves its linear
-program (fewest sequences): a revised simplex over patterns, each new pattern
-priced by a knapsack dynamic program over the dual values.  The rounded-down
+of the same length are alike, so the problem is a histogram of ``capacity``
+numbers at most, whatever the corpus.  Column generation solves its linear
+program (fewest sequences): a revised simplex over patterns, which starts from
+greedy patterns; new ones are priced by a knapsack dynamic program over the dual values.  The rounded-down
 solution's patterns are repeated as often as it says; what rounding leaves (at
 most some patterns' worth) is packed best fit decreasing into patterns of its
 own.  Documents are then ranked within their class, and a rank determines the
@@ -36,8 +36,10 @@ CAPACITY = 1024
 #: Column generation stops when the sequences exceed the lower bound by less.
 GAP = 5e-4
 MAX_COLUMNS = 6000
-#: Lengths are told apart up to so many ids; less than one grain is padded for each piece.
-GRAIN = 8
+#: Patterns taken from one pricing.
+PRICED = 32
+#: Lengths are told apart exactly; with a coarser grain less than one grain is padded for each piece.
+GRAIN = 1
 RANK_GROUP = 1024
 
 
@@ -64,8 +66,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool
     return docs.transform(map_arrow, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Most valuable multiset of lengths within the capacity: value and counts."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int, columns: int = 1) -> tuple[float, list[np.ndarray]]:
+    """Greatest value of a multiset of lengths within the capacity, and the
+    counts of up to ``columns`` multisets: the best that hold some length, best first."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, dtype=np.int64)
     within = np.searchsorted(lengths, np.arange(capacity + 1), "right")
@@ -76,15 +79,24 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
             best[c], choice[c] = gain[k], k
         else:
             best[c] = best[c - 1]
-    counts = np.zeros(len(lengths), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[choice[c]] += 1
-            c -= int(lengths[choice[c]])
-    return float(best[capacity]), counts
+    out, covered = [], np.zeros(len(lengths), dtype=bool)
+    for k in np.argsort(-(best[capacity - lengths] + values), kind="stable").tolist():
+        if covered[k]:
+            continue
+        counts = np.zeros(len(lengths), dtype=np.int64)
+        counts[k] = 1
+        c = capacity - int(lengths[k])
+        while c > 0:
+            if choice[c] < 0:
+                c -= 1
+            else:
+                counts[choice[c]] += 1
+                c -= int(lengths[choice[c]])
+        out.append(counts)
+        covered |= counts > 0
+        if len(out) == columns:
+            break
+    return float(best[capacity]), out
 
 
 def _inverse(basis: np.ndarray) -> np.ndarray:
@@ -101,29 +113,43 @@ def _inverse(basis: np.ndarray) -> np.ndarray:
     return both[:, m:]
 
 
+def _improving(waiting: list[np.ndarray], duals: np.ndarray) -> np.ndarray | None:
+    """Takes patterns from the end of the list until one improves the solution."""
+    while waiting:
+        column = waiting.pop()
+        if duals @ column > 1 + 1e-7:
+            return column
+    return None
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (one per column), their fractional use, and a lower bound.
 
-    Dual values are smoothed towards those of the best bound, which steadies
-    the sequence of priced patterns."""
+    Greedy patterns come into the basis first, without pricing.  Dual values
+    are smoothed towards those of the best bound, which steadies the sequence
+    of priced patterns."""
     m = len(lengths)
     per = capacity // lengths
     basis = np.diag(per).astype(np.int64)
     inverse = np.diag(1.0 / per)
     use = demand / per
-    bound, centre = 0.0, np.maximum(lengths / capacity, 0)
+    bound, centre = float(lengths @ demand) / capacity, lengths / capacity
+    waiting = first_patterns(lengths, demand, capacity)[::-1]
     for step in range(MAX_COLUMNS):
+        if use.sum() <= bound * (1 + gap):
+            break
         duals = inverse.sum(axis=0)
+        column = _improving(waiting, duals)
         for smooth in (0.7, 0.0):
+            if column is not None:
+                break
             prices = np.maximum(smooth * centre + (1 - smooth) * duals, 0.0)
-            value, column = knapsack(lengths, prices, capacity)
+            value, found = knapsack(lengths, prices, capacity, PRICED)
             if (lower := float(prices @ demand) / max(value, 1e-12)) > bound:  # Farley's bound
                 bound, centre = lower, prices / value
-            if duals @ column > 1 + 1e-7:
-                break
-        else:
-            break
-        if use.sum() <= bound * (1 + gap):
+            waiting = found[::-1]
+            column = _improving(waiting, duals)
+        if column is None:
             break
         direction = inverse @ column
         positive = np.flatnonzero(direction > 1e-9)
@@ -135,7 +161,11 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = C
         np.maximum(use, 0.0, out=use)
         basis[:, out] = column
         pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
+        rows, columns = np.flatnonzero(direction), np.flatnonzero(pivot)
+        if len(rows) * len(columns) < m * m // 4:
+            inverse[np.ix_(rows, columns)] -= np.outer(direction[rows], pivot[columns])
+        else:
+            inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         if step % 500 == 499:
             inverse = _inverse(basis)
@@ -149,15 +179,35 @@ def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     for k in range(len(lengths) - 1, -1, -1):
         size = int(lengths[k])
-        for _ in range(int(demand[k])):
+        left = int(demand[k])
+        while left:
             room = next((r for r in range(size, capacity) if by_room[r]), 0)
             if room:
                 i = by_room[room].pop()
             else:
                 i, room = len(out), capacity
                 out.append(np.zeros(len(lengths), dtype=np.int64))
-            out[i][k] += 1
-            by_room[room - size].append(i)
+            many = min(left, room // size)  # equal pieces go where the first of them went
+            out[i][k] += many
+            left -= many
+            by_room[room - many * size].append(i)
+    return out
+
+
+def first_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Patterns to start from: the longest piece that is left, filled up by the
+    longest that fit, repeated as often as the demand allows."""
+    left, out = demand.copy(), []
+    while (live := np.flatnonzero(left)).size:
+        column, room = np.zeros(len(lengths), dtype=np.int64), capacity
+        for k in live[::-1]:
+            if lengths[live[0]] > room:
+                break
+            column[k] = min(room // lengths[k], left[k])
+            room -= int(column[k] * lengths[k])
+        used = np.flatnonzero(column)
+        left -= column * int((left[used] // column[used]).min())
+        out.append(column)
     return out
 
 

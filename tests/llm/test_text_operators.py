@@ -163,6 +163,15 @@ def test_packing(docs_frame, odd_docs, capacity, grain):
     assert len(sequences) * capacity <= 1.1 * sum(sequences.values()) + capacity
 
 
+def test_packing_of_short_texts_fills_sequences(spark):
+    texts = [""] * 2000 + [None] * 48 + ["a"] * 1024 + ["a a a a a a a a"] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = packing.pack(docs).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    total = sum(r[1] for r in out)
+    assert total == sum(map(len, brute.encode(texts))) and max(r[1] for r in out) <= 1024
+    assert len(out) <= -(-total // 1024) + 1
+
+
 def test_packing_of_no_documents(no_docs):
     assert packing.pack(no_docs).count() == 0
 
