@@ -18,8 +18,9 @@ Rows stay where they are: every task indexes its own blocks of rows, all of
 them, and answers the queries, which come in blocks of bounded size; per query
 and task only k rows are passed on to the final ranking.
 
-Defined cases: vectors that are null, empty, of another length than the first
-sampled one, zero, or hold null or non-finite components take no part; rows
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components take no part, nor do those of another length than most of the others
+have (the greater length if two are as frequent); rows
 with equal ids are separate candidates, but none of them answers that id's
 query; ties go to the smaller id.
 """
@@ -44,10 +45,9 @@ QUERY_BLOCK = 4096
 ROW_BLOCK = 16384
 
 
-def valid_rows(ids: pa.Array, vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def valid_rows(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows that take part, and their vectors in double precision."""
     sizes = np.asarray(vectors.value_lengths().fill_null(0))
-    width = int(width if width is not None else (sizes.max() if len(sizes) else 0))
     at = np.flatnonzero((sizes == width) & np.asarray(ids.is_valid()) & (width > 0))
     if not len(at):
         return at, np.empty((0, max(width, 0)))
@@ -128,19 +128,23 @@ class BlockIndex:
 
 
 def learn(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPLE) -> Codes | None:
-    """Codes from the ``sample`` rows that come first by a hash of their ids."""
-    rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    first = rows.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    """Codes from the ``sample`` rows of the most frequent length that come first by a hash of their ids."""
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"))
+    squares = F.aggregate("_v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    rows = rows.filter((squares > 0) & (squares < float("inf")))  # null with a null, and NaN is above infinity
+    usual = rows.groupBy(F.size("_v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if usual is None:
+        return None
+    width = usual.width
+    first = rows.filter(F.size("_v") == width).orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, x = valid_rows(b.column(0), b.column(1))
-            if len(x) and not run.done:
-                run.done = True
-                codes = Codes(x)
-                yield pa.RecordBatch.from_arrays([pa.array([codes.axes.tobytes()]), pa.array([codes.width]), pa.array([codes.radius])], ["axes", "width", "radius"])
-
-    run.done = False
+        parts = [valid_rows(b.column(0), b.column(1), width)[1] for b in batches]  # ``sample`` rows at most
+        x = np.concatenate(parts) if parts else np.empty((0, width))
+        if len(x):
+            codes = Codes(x)
+            yield pa.RecordBatch.from_arrays([pa.array([codes.axes.tobytes()]), pa.array([codes.width]), pa.array([codes.radius])], ["axes", "width", "radius"])
+
     got = first.coalesce(1).transform(map_arrow, run, "axes binary, width long, radius long").collect()
     if not got:
         return None

@@ -183,6 +183,15 @@ def test_neighbours_of_odd_vectors(spark):
     assert blocks.select("query_id").distinct().count() == 6
 
 
+def test_a_longer_vector_does_not_set_the_length(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
+    for stray in ([1.0] * 5, [1.0, None, float("nan"), 1.0]):
+        df = spark.createDataFrame([*rows, (100, stray)], "vec_id long, embedding array<float>")
+        got = mih.search(df, df.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+        assert {q: [r.vec_id for r in got if r.query_id == q] for q in (0, 50)} == exact(rows)
+        assert len(got) == 10
+
+
 def test_pigeonhole_probing_is_complete():
     rng = np.random.Generator(np.random.PCG64(8))
     codes = rng.integers(0, 2**16, (3000, 8)).astype(np.uint16)
