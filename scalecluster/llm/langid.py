@@ -34,8 +34,8 @@ PAD = 256
 LANES = 2048
 #: Documents sampled for each language, and windows of each document, at most.
 MAX_DOCUMENTS, MAX_WINDOWS = 500, 16
-#: Languages that are learned at most: the most frequent ones.
-MAX_LANGUAGES = 64
+#: The hidden width grows beyond so many languages a unit, and fewer windows are then read side by side.
+LANGUAGES_A_UNIT = 8
 EPOCHS, BATCH, RATE = 5, 256, 0.01
 #: Small samples are passed over more often.
 MIN_STEPS = 200
@@ -220,13 +220,14 @@ def label_batch(net: Network, column: pa.Array) -> np.ndarray:
     symbols, row = windows(LOWER[data], offsets)
     languages = len(net.bias)
     out = np.zeros((len(offsets) - 1, languages))
-    for i in range(0, len(symbols), LANES):
-        part = np.ascontiguousarray(symbols[i : i + LANES].T).astype(np.intp)
+    lanes = max(1, LANES * HIDDEN * LANGUAGES_A_UNIT // max(languages, HIDDEN * LANGUAGES_A_UNIT))
+    for i in range(0, len(symbols), lanes):
+        part = np.ascontiguousarray(symbols[i : i + lanes].T).astype(np.intp)
         p = net.probabilities(part)
         p *= (part != PAD)[:, None, :]
         sums = p.sum(axis=0)
         for k in range(languages):
-            out[:, k] += np.bincount(row[i : i + LANES], sums[k], minlength=len(out))
+            out[:, k] += np.bincount(row[i : i + lanes], sums[k], minlength=len(out))
     return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
@@ -237,7 +238,7 @@ def has_letter(text: str | None) -> bool:
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[np.ndarray]] | None:
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     known = known.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out("_id", FOLDS, HELD_OUT))
-    top = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGUAGES).collect()
+    top = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
     languages = sorted(r["_lang"] for r in top)
     if not languages:
         return None
@@ -259,7 +260,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[l
                     texts += [raw[k * WINDOW : (k + 1) * WINDOW] for k in some]
                     labels += [languages.index(lang)] * len(some)
         if texts:
-            net = train_network(texts, labels, len(languages))
+            net = train_network(texts, labels, len(languages), max(HIDDEN, -(-len(languages) // LANGUAGES_A_UNIT)))
             yield pa.RecordBatch.from_arrays([pa.array([p.astype("<f4").tobytes() for p in net.parameters()]), pa.array([str(p.shape)[1:-1] for p in net.parameters()])], ["values", "shape"])
 
     got = sample.transform(map_arrow, run, "values binary, shape string").collect()

@@ -79,6 +79,15 @@ def test_language_edges(spark, no_docs):
     assert {x.lang_pred for x in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_more_than_64_languages_are_learned(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    say = lambda k: chr(0x4E00 + 64 * k) * 20
+    rows = [(i, say(i % 70), names[i % 70]) for i in range(70 * 12)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    right = [r.lang_pred == names[r.doc_id % 70] for r in got]
+    assert len({r.lang_pred for r in got}) > 64 and sum(right) / len(right) >= 0.9
+
+
 def test_gradients_match_differences():
     rng = np.random.Generator(np.random.PCG64(2))
     net = langid.Network.random(3, hidden=3, seed=1)
