@@ -1,45 +1,38 @@
 """Connected components by alternating star contractions.
 
-Large-star/small-star (Kiveris et al., SoCC 2014): every round is a grouped
-minimum and an equi-join, both partially aggregated, so a hub of millions of
-edges never meets in one task.  Paths of n nodes need O(log n) rounds.  Each
-round is cut by a checkpoint in the shared folder, so a lost executor costs
-one round at most.
+Large-star/small-star (Kiveris et al., SoCC 2014): every step is a grouped
+minimum, partially aggregated, and an equi-join for which the edges of hubs
+stay where they are, so a hub of millions of edges never meets in one task.
+Paths of n nodes need O(log n) rounds.  Each step is written to the shared
+folder, so a lost executor costs one step at most; a step's table is deleted
+when the next one is there.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialise
 from ..session import ship_package
+from .skew import join_counted
 
 MAX_ROUNDS = 60
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="scalecluster-"))
-
-
-def _star(edges: DataFrame, by: list[str], large: bool) -> DataFrame:
-    """One contraction; rows have u > v."""
+def _star(edges: DataFrame, by: list[str], large: bool, total: int) -> DataFrame:
+    """One contraction of ``total`` edges; rows have u > v."""
     if large:  # every neighbour above u is linked to the least neighbour of u
         both = edges.unionByName(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        out = both.filter("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy(*by, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
+        out = join_counted(both.filter("v > u"), least, [*by, "u"], 2 * total).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # u and its lower neighbours are linked to the least of them
-        least = edges.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        out = linked.unionByName(least.withColumnRenamed("m", "v")).filter("u > v")
+        least = edges.groupBy(*by, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        linked = join_counted(edges, least, [*by, "u"], total).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        out = linked.unionByName(least.select(*by, "u", F.col("m").alias("v"))).filter("u > v")
     return out.distinct()
 
 
@@ -52,20 +45,22 @@ def connected_components(edges: DataFrame, by: list[str] | None = None, max_roun
     edges give an empty result.
     """
     by = by or []
-    spark = edges.sparkSession
-    _ensure_checkpoint_dir(spark)
-    current = (
-        edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u").isNotNull() & F.col("v").isNotNull()).alias("_whole"))
-        .filter("_whole and u <> v").drop("_whole").distinct()
-    )
-    state = None
-    for _ in range(max_rounds):
-        current = _star(_star(current, by, large=True), by, large=False).checkpoint()
+    whole = F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))
+    current = materialise(edges.filter(whole).select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def state() -> tuple:
         # xxhash64 sums identify the edge set; a fixed point is a forest of stars
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if state == (now.n, now.h):
+        return tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(20,0)"))).first())
+
+    now = state()
+    for _ in range(max_rounds):
+        before = now
+        for large in (True, False):
+            old, current = current, materialise(_star(current, by, large, now[0]), "star")
+            discard(old)
+        now = state()
+        if now == before:
             break
-        state = (now.n, now.h)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(*by, F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

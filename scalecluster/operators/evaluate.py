@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,27 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("scale", "cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def cluster_members(clusters: DataFrame, names: DataFrame, id_col: str = "item_id", name_col: str = "name") -> DataFrame:
-    """``(scale, cluster, members)``: the sorted names of each cluster's items."""
+def cluster_members(clusters: DataFrame, names: DataFrame, id_col: str = "item_id", name_col: str = "name", chunk: int = 100_000) -> DataFrame:
+    """``(scale, cluster, part, members)``: the names of each cluster's items, sorted.
+
+    A cluster of more than ``chunk`` items is listed in parts of about that
+    many, dealt by a hash of the name, so a list has a bound."""
     named = clusters.join(names.select(F.col(id_col).alias("item_id"), F.col(name_col).alias("_name")), "item_id")
-    return named.groupBy("scale", "cluster").agg(F.sort_array(F.collect_list("_name")).alias("members"))
+    if clusters.limit(chunk + 1).count() <= chunk:  # no cluster can be larger
+        named = named.withColumn("part", F.lit(0).cast("long"))
+    else:
+        parts = cluster_sizes(clusters).select("scale", "cluster", F.ceil(F.col("size") / chunk).alias("_parts"))
+        many = F.broadcast(parts.filter("_parts > 1"))  # fewer than one in ``chunk`` rows
+        named = named.join(many, ["scale", "cluster"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("_name"), F.col("_parts")), F.lit(0)))
+    return named.groupBy("scale", "cluster", "part").agg(F.sort_array(F.collect_list("_name")).alias("members"))
+
+
+def cluster_tags(clusters: DataFrame, labels: DataFrame, least_size: int = 3) -> DataFrame:
+    """``(scale, cluster, size, label, n)``: how often each label occurs in the
+    clusters of at least ``least_size`` items.  ``labels`` has item_id and label."""
+    counts = clusters.join(labels, "item_id").groupBy("scale", "cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("scale", "cluster").agg(F.sum("n").alias("size")).filter(F.col("size") >= least_size)
+    return counts.join(sizes, ["scale", "cluster"]).select("scale", "cluster", "size", "label", "n")
 
 
 def majority(clusters: DataFrame, labels: DataFrame, least_size: int = 2) -> DataFrame:
@@ -34,6 +51,7 @@ def best_f1(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     rated = majority(clusters, labels).join(classes, "label")
     rated = rated.withColumn("precision", F.col("n") / F.col("size")).withColumn("recall", F.col("n") / F.col("class_size"))
     rated = rated.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("f1"), "scale", "cluster"))
-    best = rated.withColumn("_rank", rank).filter("_rank = 1").select("label", "f1", "precision", "recall", F.col("size").alias("cluster_size"), "scale", "cluster")
+    # a grouped minimum, partially aggregated: labels are few and clusters many
+    order = F.struct((-F.col("f1")).alias("_less"), "scale", "cluster", "f1", "precision", "recall", F.col("size").alias("cluster_size"))
+    best = rated.groupBy("label").agg(F.min(order).alias("_best")).select("label", *[f"_best.{n}" for n in ("f1", "precision", "recall", "cluster_size", "scale", "cluster")])
     return classes.join(best, "label", "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)))

@@ -64,16 +64,38 @@ def candidates(banded: DataFrame, hub_limit: int | None = 5) -> DataFrame:
     return pairs.select(F.least("_hub", "item_id").alias("u"), F.greatest("_hub", "item_id").alias("v")).distinct()
 
 
-def similarity(a: Column, b: Column, functions: int) -> Column:
-    """The share of equal places of two signatures."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x) / F.lit(functions)
+def packed(sigs: DataFrame) -> DataFrame:
+    """``(item_id, sig binary)``: the values as 32-bit integers, which they fit."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+            raw = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])], ["item_id", "sig"])
+
+    kind = sigs.schema["item_id"].dataType.simpleString()
+    return sigs.select("item_id", "sig").transform(map_arrow, run, f"item_id {kind}, sig binary")
+
+
+def scored_pairs(pairs: DataFrame, sigs: DataFrame, functions: int, least: float = 0.0) -> DataFrame:
+    """``(u, v, sim)``: the share of equal places of two signatures, each pair
+    scored once for all scales; below ``least`` pairs are left out."""
+    small = packed(sigs)
+    a = small.select(F.col("item_id").alias("u"), F.col("sig").alias("_a"))
+    b = small.select(F.col("item_id").alias("v"), F.col("sig").alias("_b"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                left, right = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<i4").reshape(-1, functions) for k in (2, 3))
+                sim = (left == right).sum(axis=1) / functions
+                keep = pa.array(np.flatnonzero(sim >= least))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(sim).take(keep)], ["u", "v", "sim"])
 
-def scored_pairs(pairs: DataFrame, sigs: DataFrame, functions: int) -> DataFrame:
-    """``(u, v, sim)``, each pair scored once for all scales."""
-    a = sigs.select(F.col("item_id").alias("u"), F.col("sig").alias("_a"))
-    b = sigs.select(F.col("item_id").alias("v"), F.col("sig").alias("_b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", similarity(F.col("_a"), F.col("_b"), functions).alias("sim"))
+    kind = pairs.schema["u"].dataType.simpleString()
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "_a", "_b").transform(map_arrow, run, f"u {kind}, v {kind}, sim double")
 
 
 def ladder_edges(scored: DataFrame, ladder: list[tuple[int, float]]) -> DataFrame:
@@ -83,12 +105,13 @@ def ladder_edges(scored: DataFrame, ladder: list[tuple[int, float]]) -> DataFram
     return scored.select(F.explode(reached).alias("s"), "u", "v").select("s.scale", "u", "v")
 
 
-def gaussian_prune(pairs: DataFrame, width: float = 0.1) -> DataFrame:
-    """``(src, dst)`` kept of scored pairs ``(src, dst, cos)``, those of an item
-    with itself included: with s = e^((cos - 1) / width) and a source's sigma =
+def gaussian_prune(pairs: DataFrame, width: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """``(*by, src, dst)`` kept of scored pairs ``(*by, src, dst, cos)``, those of an
+    item with itself included: with s = e^((cos - 1) / width) and a source's sigma =
     sqrt(mean s), pairs with cos >= 1 - sigma stay, and the source's second most
     similar one in any case (ties by dst)."""
-    by_src = Window.partitionBy("src")
+    by = by or []
+    by_src = Window.partitionBy(*by, "src")
     sigma = F.sqrt(F.avg(F.exp((F.col("cos") - 1) / width)).over(by_src))
     rank = F.row_number().over(by_src.orderBy(F.desc("cos"), "dst"))
-    return pairs.withColumn("_sigma", sigma).withColumn("_rank", rank).filter("cos - 1 >= -_sigma or _rank = 2").select("src", "dst")
+    return pairs.withColumn("_sigma", sigma).withColumn("_rank", rank).filter("cos - 1 >= -_sigma or _rank = 2").select(*by, "src", "dst")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import decimals, no_nan
+from ..session import map_arrow
 
 #: Up to so many dimensions statistics are one row of aggregates, without a shuffle of components.
 WIDE = 64
@@ -41,6 +45,18 @@ def precision(items: DataFrame, d: int, tokens: str = "tokens") -> DataFrame:
     return items.agg(digits.alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def grid_stats(items: DataFrame, d: int, vec: str = "vec", tokens: str = "tokens") -> list[dict]:
+    """``column_stats`` of ``vec`` and ``precision`` of ``tokens`` in one pass, as rows of (dim, min, max, diff, mid, digits)."""
+    at = lambda j: no_nan(F.get(vec, F.lit(j)))
+    each = [F.struct(F.lit(j).alias("dim"), F.min(at(j)).alias("min"), F.max(at(j)).alias("max"), F.max(decimals(F.get(tokens, F.lit(j)))).alias("digits")) for j in range(d)]
+    rows = items.agg(F.array(*each).alias("s")).first().s
+    found = [r.asDict() for r in rows]
+    for r in found:
+        r["diff"] = None if r["min"] is None else r["max"] - r["min"]
+        r["mid"] = None if r["min"] is None else r["min"] + r["diff"] / 2
+    return found
+
+
 def max_sd_scale(stats: list, digits: dict[int, int]) -> int:
     """floor(log2(interval 10^digits)) - 1 for the least dimension; constant
     dimensions are left out.  0 if all are constant."""
@@ -64,11 +80,31 @@ def threshold_ladder(d: int, growth: float, start: int, end: int) -> list[tuple[
 def min_gap(items: DataFrame, vec: str = "vec") -> DataFrame:
     """``(dim, gap)``: the least positive distance of two values; constant dimensions have none.
 
-    Values are made distinct first (partially aggregated), then each is
-    compared with its predecessor."""
-    values = items.select(F.posexplode(vec).alias("dim", "x")).distinct()
-    before = F.lag("x").over(Window.partitionBy("dim").orderBy("x"))
-    return values.withColumn("gap", F.col("x") - before).filter("gap > 0").groupBy("dim").agg(F.min("gap").alias("gap"))
+    Values are made distinct (partially aggregated) and sorted by ranges, so
+    one dimension is spread over many tasks; each compares neighbours and passes
+    on its first and last value of a dimension, which meet those of the next range."""
+    kind = items.schema[vec].dataType.elementType.simpleString()
+    values = items.select(F.posexplode(vec).alias("dim", "x")).filter(F.col("x").isNotNull() & ~F.isnan(F.col("x"))).distinct()
+    ranged = values.repartitionByRange("dim", "x").sortWithinPartitions("dim", "x")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[float]] = {}  # first, last, least gap
+        for b in batches:
+            dim, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(dim, prepend=-1)), len(dim))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                before = seen.get(int(dim[i]))
+                part = x[i:j] if before is None else np.append(before[1], x[i:j])
+                gap = min(np.diff(part).min(initial=np.inf), np.inf if before is None else before[2])
+                seen[int(dim[i])] = [part[0] if before is None else before[0], part[-1], gap]
+        names = ["dim", "first", "last", "gap"]
+        if seen:
+            first, last, gap = zip(*seen.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array(v, b.schema.field(1).type) for v in (first, last)), pa.array([None if np.isinf(g) else g for g in gap], b.schema.field(1).type)], names)
+
+    ends = ranged.transform(map_arrow, run, f"dim int, first {kind}, last {kind}, gap {kind}")
+    step = F.col("first") - F.lag("last").over(Window.partitionBy("dim").orderBy("first"))  # a row for each range
+    return ends.withColumn("gap", F.least("gap", step)).filter("gap > 0").groupBy("dim").agg(F.min("gap").alias("gap"))
 
 
 def scale_count(weber: float, most: float, least: float) -> int:

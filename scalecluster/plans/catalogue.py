@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_family
-from ..functions.vectors import decimals, dot, log1p_vector, normalise, parse_vector, slice_columns
+from ..functions.vectors import dot, log1p_vector, normalise, parse_vector, slice_columns
 from ..operators import evaluate, minhash, sdcode, stats
 from ..operators.components import grouped_components
+from ..scratch import materialise
 from ..sources.io import read_columns
 from . import engine
 from .config import ClusterConfig
@@ -79,10 +80,10 @@ def precision_per_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(floor(log2((max(c_acctbal) - min(c_acctbal)) * pow(10, max(length(string_split(CAST(c_acctbal AS VARCHAR), '.')[2]))))) AS INTEGER) - 1 AS max_scale FROM customer""")
 def max_sd_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer")
     balance = F.col("c_acctbal")
-    interval = (F.max(balance) - F.min(balance)) * F.pow(F.lit(10.0), F.max(decimals(balance.cast("string"))))
-    return rows.agg((F.floor(F.log2(interval)).cast("int") - 1).alias("max_scale"))
+    rows = _table(spark, sf_dir, "customer").select(F.array(balance).alias("vec"), F.array(balance.cast("string")).alias("tokens"))
+    found = stats.grid_stats(rows, 1)
+    return spark.createDataFrame([(stats.max_sd_scale(found, {r["dim"]: r["digits"] for r in found}),)], "max_scale int")
 
 
 @query("""SELECT growth, CAST(s AS INTEGER) AS scale, CAST(round(least(1.0, pow(1 + growth, s - 1) / 64) * 1e6) AS BIGINT) AS threshold
@@ -92,12 +93,23 @@ def jaccard_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "growth double, scale int, threshold long")
 
 
-@query("SELECT CAST(e AS INTEGER) AS requested, CAST(CASE WHEN e = 0 THEN 42 ELSE least(e, 42) END AS INTEGER) AS end_scale FROM (VALUES (0), (10), (42), (100)) AS t(e)")
+@query("""WITH b AS (SELECT CAST(floor(ln(max(len(embedding))) / ln(1.1::DOUBLE)) AS INTEGER) - 1 AS most FROM embeddings)
+SELECT CAST(e AS INTEGER) AS requested, CAST(CASE WHEN e = 0 THEN most ELSE least(e, most) END AS INTEGER) AS end_scale FROM b, (VALUES (0), (10), (42), (100)) AS t(e)""")
 def clamp_end_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    most = stats.max_jaccard_scale(64, 0.1)
+    most = stats.max_jaccard_scale(stats.dimension_count(_embeddings(spark, sf_dir)), 0.1)
     return spark.createDataFrame([(e, stats.clamp_end_scale(e, most)) for e in (0, 10, 42, 100)], "requested int, end_scale int")
 
 
+@query("""SELECT 'embeddings' AS source, CASE WHEN count(*) > pow(3, max(len(embedding))) THEN 'SD' ELSE 'MIN' END AS model FROM embeddings
+UNION ALL SELECT 'lineitem', CASE WHEN count(*) > pow(3, 2) THEN 'SD' ELSE 'MIN' END FROM lineitem
+UNION ALL SELECT 'region', CASE WHEN count(*) > pow(3, 2) THEN 'SD' ELSE 'MIN' END FROM region""")
+def model_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"embeddings": _embeddings(spark, sf_dir), "lineitem": _lineitem(spark, sf_dir), "region": read_columns(_table(spark, sf_dir, "region"), "r_regionkey", ["r_regionkey", "r_regionkey"])}
+    config = ClusterConfig(model="by_rows")
+    rows = [(name, engine.resolve_model(config, stats.dimension_count(t), t.count())) for name, t in tables.items()]
+    return spark.createDataFrame(rows, "source string, model string")
+
+
 @query("SELECT vec_id, CAST(i AS INTEGER) AS dim, CAST(round(ln(1 + CAST(embedding[6 + i] AS DOUBLE)) * 1e9) AS BIGINT) AS x FROM embeddings, generate_series(0, 4) AS t(i)")
 def log1p_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = log1p_vector(slice_columns(F.col("embedding").cast("array<double>"), 5, 10))
@@ -280,7 +292,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "customer")
     found = evaluate.cluster_members(_customer_clusters(spark, sf_dir), names, "c_custkey", "c_name")
-    return found.withColumn("members", F.array_join("members", ","))
+    return found.select("scale", "cluster", F.array_join("members", ",").alias("members"))
 
 
 @query("""WITH src AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS x0, p_retailprice AS x1 FROM part),
@@ -322,53 +334,83 @@ u AS MATERIALIZED (SELECT item_id, unnest(generate_series(0, 63)) AS dim, unnest
 mid AS MATERIALIZED (SELECT dim, min(e) + (max(e) - min(e)) / 2 AS m FROM u GROUP BY dim),
 bits AS MATERIALIZED (SELECT item_id, dim, CASE WHEN e >= m THEN 1 ELSE 0 END AS bit FROM u JOIN mid USING (dim))"""
 
-FAMILY_SQL = """draws(i, state) AS (
+def _family_sql(functions: int) -> str:
+    return f"""draws(i, state) AS (
   SELECT 0, CAST(25214903817 AS HUGEINT)
-  UNION ALL SELECT i + 1, (state * 25214903917 + 11) % 281474976710656 FROM draws WHERE i < 250
+  UNION ALL SELECT i + 1, (state * 25214903917 + 11) % 281474976710656 FROM draws WHERE i < {2 * functions}
 ),
 ints AS (SELECT i, CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS z FROM (SELECT i, CAST(state // 65536 AS BIGINT) AS w FROM draws WHERE i > 0)),
 family AS MATERIALIZED (SELECT CAST(p.i // 2 AS INTEGER) AS f, p.z AS a, q.z AS b FROM ints p JOIN ints q ON q.i = p.i + 1 WHERE p.i % 2 = 1)"""
 
+
 HASHED_SQL = """hashed AS MATERIALIZED (SELECT dim, bit, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS h FROM (
   SELECT dim, bit, list_reduce(list_transform(string_split(dim || '-' || bit, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda p, c: (31 * p + c) % 4294967296) AS h
   FROM generate_series(0, 63) AS d(dim), (VALUES (0), (1)) AS t(bit)))"""
 
-SIGNATURE_SQL = f"""{BITS_SQL}, {FAMILY_SQL}, {HASHED_SQL},
+
+def _signature_sql(functions: int = 125) -> str:
+    return f"""{BITS_SQL}, {_family_sql(functions)}, {HASHED_SQL},
 entry AS MATERIALIZED (SELECT item_id, f, min((a * h + b) % 2147483647) AS s FROM bits JOIN hashed USING (dim, bit), family GROUP BY item_id, f),
 sig AS MATERIALIZED (SELECT item_id, list(s ORDER BY f) AS sig FROM entry GROUP BY item_id)"""
 
-BANDS_SQL = f"""{SIGNATURE_SQL},
-banded AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS band, sig[i * 5 + 1 : i * 5 + 5] AS key, item_id FROM sig, generate_series(0, 24) AS t(i))"""
+
+def _bands_sql(functions: int = 125, bands: int = 25) -> str:
+    rows = functions // bands
+    return f"""{_signature_sql(functions)},
+banded AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS band, sig[i * {rows} + 1 : i * {rows} + {rows}] AS key, item_id FROM sig, generate_series(0, {bands - 1}) AS t(i))"""
 
 
-def _pairs_sql(limit: int | None) -> str:
+def _pairs_sql(limit: int | None, functions: int = 125, bands: int = 25) -> str:
     hubs = "banded" if limit is None else f"(SELECT * FROM banded QUALIFY row_number() OVER (PARTITION BY band, key ORDER BY item_id) <= {limit})"
-    return f"""{BANDS_SQL},
+    return f"""{_bands_sql(functions, bands)},
 pairs AS MATERIALIZED (SELECT DISTINCT least(h.item_id, m.item_id) AS u, greatest(h.item_id, m.item_id) AS v FROM {hubs} h JOIN banded m USING (band, key) WHERE h.item_id <> m.item_id)"""
 
 
-EDGES_SQL = f"""{_pairs_sql(5)},
-scored AS MATERIALIZED (SELECT u, v, len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 125.0::DOUBLE AS sim FROM pairs JOIN sig a ON a.item_id = u JOIN sig b ON b.item_id = v),
-edges AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS scale, u, v FROM scored, generate_series(36, 39) AS t(s) WHERE sim >= pow(1.1::DOUBLE, s - 1) / 64)"""
+def _scored_sql(functions: int = 125) -> str:
+    return f"""scored AS MATERIALIZED (SELECT u, v, len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {functions}.0::DOUBLE AS sim FROM pairs JOIN sig a ON a.item_id = u JOIN sig b ON b.item_id = v)"""
 
-CLUSTERS_SQL = f"""{EDGES_SQL},
-both_ways AS MATERIALIZED (SELECT scale, u, v FROM edges UNION ALL SELECT scale, v, u FROM edges),
+
+def _labels_sql(scales: tuple[int, ...]) -> str:
+    """Labels of the components of ``edges``, the least item id."""
+    values = ", ".join(f"({s})" for s in scales)
+    return f"""both_ways AS MATERIALIZED (SELECT scale, u, v FROM edges UNION ALL SELECT scale, v, u FROM edges),
 labels(scale, node, label) USING KEY (scale, node) AS (
-  SELECT CAST(s AS INTEGER), vec_id, vec_id FROM embeddings, generate_series(36, 39) AS t(s)
+  SELECT CAST(s AS INTEGER), vec_id, vec_id FROM embeddings, (VALUES {values}) AS t(s)
   UNION
   SELECT p.scale, p.v, min(l.label) FROM labels l JOIN both_ways p ON l.scale = p.scale AND l.node = p.u
     JOIN recurring.labels r ON r.scale = p.scale AND r.node = p.v WHERE l.label < r.label GROUP BY ALL
 )"""
 
 
+EDGES_SQL = f"""{_pairs_sql(5)},
+{_scored_sql()},
+edges AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS scale, u, v FROM scored, generate_series(36, 39) AS t(s) WHERE sim >= pow(1.1::DOUBLE, s - 1) / 64)"""
+
+CLUSTERS_SQL = f"""{EDGES_SQL},
+{_labels_sql(MIN_SCALES)}"""
+
+#: Scales of the runs without a hub limit, whose thresholds are 1.1^s / 64.
+HIGH_SCALES = (36, 37, 38)
+HIGH_EDGES_SQL = f"""{_pairs_sql(None, 128, 32)},
+{_scored_sql(128)},
+near AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS scale, u, v FROM scored, generate_series({HIGH_SCALES[0]}, {HIGH_SCALES[-1]}) AS t(s) WHERE sim >= pow(1.1::DOUBLE, s) / 64)"""
+
+F1_SQL = """n AS (SELECT l.scale, l.label AS cluster, e.label, count(*) AS n FROM labels l JOIN embeddings e ON e.vec_id = l.node GROUP BY ALL),
+top AS (SELECT scale, cluster, label, n, sum(n) OVER (PARTITION BY scale, cluster) AS size FROM n QUALIFY row_number() OVER (PARTITION BY scale, cluster ORDER BY n DESC, label) = 1),
+classes AS (SELECT label, count(*) AS class_size FROM embeddings GROUP BY label),
+rated AS (SELECT t.*, n / size AS p, n / class_size AS r FROM top t JOIN classes USING (label) WHERE size > 1),
+best AS (SELECT *, 2 * p * r / (p + r) AS f1 FROM rated QUALIFY row_number() OVER (PARTITION BY label ORDER BY 2 * p * r / (p + r) DESC, scale, cluster) = 1)
+SELECT c.label, class_size, CAST(round(coalesce(f1, 0) * 1e9) AS BIGINT) AS f1, CAST(round(coalesce(p, 0) * 1e9) AS BIGINT) AS "precision", CAST(round(coalesce(r, 0) * 1e9) AS BIGINT) AS recall, CAST(coalesce(size, 0) AS BIGINT) AS cluster_size, coalesce(scale, -1) AS scale, coalesce(cluster, -1) AS cluster
+FROM classes c LEFT JOIN best USING (label)"""
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine._ensure_checkpoint_dir(spark)
-    return minhash.signatures(engine.min_bits(_embeddings(spark, sf_dir), MIN_CONFIG, 64), 64, 125).checkpoint()
+    return materialise(minhash.signatures(engine.min_bits(_embeddings(spark, sf_dir), MIN_CONFIG, 64), 64, 125), "signatures")
 
 
 @query(f"WITH RECURSIVE {BITS_SQL} SELECT item_id, string_agg(dim || '-' || bit, ',' ORDER BY dim) AS shingles FROM bits GROUP BY item_id")
@@ -377,17 +419,17 @@ def min_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bits.select("item_id", F.array_join(minhash.shingles(F.col("bits")), ",").alias("shingles"))
 
 
-@query(f"WITH RECURSIVE {FAMILY_SQL} SELECT f, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM family")
+@query(f"WITH RECURSIVE {_family_sql(125)} SELECT f, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM family")
 def min_hash_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(hash_family(125))], "f int, a long, b long")
 
 
-@query(f"WITH RECURSIVE {SIGNATURE_SQL} SELECT item_id, array_to_string(sig, ',') AS signature FROM sig")
+@query(f"WITH RECURSIVE {_signature_sql()} SELECT item_id, array_to_string(sig, ',') AS signature FROM sig")
 def min_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signatures(spark, sf_dir).select("item_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("signature"))
 
 
-@query(f"WITH RECURSIVE {BANDS_SQL} SELECT band, array_to_string(key, ',') AS key, count(*) AS n, min(item_id) AS first_item FROM banded GROUP BY ALL")
+@query(f"WITH RECURSIVE {_bands_sql()} SELECT band, array_to_string(key, ',') AS key, count(*) AS n, min(item_id) AS first_item FROM banded GROUP BY ALL")
 def min_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minhash.bands(_signatures(spark, sf_dir), 125, 25)
     return rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_item")).withColumn("key", F.array_join(F.col("key").cast("array<string>"), ","))
@@ -432,21 +474,45 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_components(_edges(spark, sf_dir), ["scale"])
 
 
-@query(f"""WITH RECURSIVE {CLUSTERS_SQL},
-n AS (SELECT l.scale, l.label AS cluster, e.label, count(*) AS n FROM labels l JOIN embeddings e ON e.vec_id = l.node GROUP BY ALL),
-top AS (SELECT scale, cluster, label, n, sum(n) OVER (PARTITION BY scale, cluster) AS size FROM n QUALIFY row_number() OVER (PARTITION BY scale, cluster ORDER BY n DESC, label) = 1),
-classes AS (SELECT label, count(*) AS class_size FROM embeddings GROUP BY label),
-rated AS (SELECT t.*, n / size AS p, n / class_size AS r FROM top t JOIN classes USING (label) WHERE size > 1),
-best AS (SELECT *, 2 * p * r / (p + r) AS f1 FROM rated QUALIFY row_number() OVER (PARTITION BY label ORDER BY 2 * p * r / (p + r) DESC, scale, cluster) = 1)
-SELECT c.label, class_size, CAST(round(coalesce(f1, 0) * 1e9) AS BIGINT) AS f1, CAST(round(coalesce(p, 0) * 1e9) AS BIGINT) AS "precision", CAST(round(coalesce(r, 0) * 1e9) AS BIGINT) AS recall, CAST(coalesce(size, 0) AS BIGINT) AS cluster_size, coalesce(scale, -1) AS scale, coalesce(cluster, -1) AS cluster
-FROM classes c LEFT JOIN best USING (label)""")
-def cluster_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _f1(spark: SparkSession, sf_dir: str, clusters: DataFrame) -> DataFrame:
     labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
-    out = evaluate.best_f1(engine.cluster(_embeddings(spark, sf_dir), MIN_CONFIG), labels)
+    out = evaluate.best_f1(clusters, labels)
     out = out.fillna(0, ["precision", "recall", "cluster_size"]).fillna(-1, ["scale", "cluster"])
     return out.withColumns({c: _scaled(F.col(c)) for c in ("f1", "precision", "recall")})
 
 
+@query(f"WITH RECURSIVE {CLUSTERS_SQL},\n{F1_SQL}")
+def cluster_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _f1(spark, sf_dir, engine.cluster(_embeddings(spark, sf_dir), MIN_CONFIG))
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS_SQL},
+n AS (SELECT l.scale, l.label AS cluster, e.label, count(*) AS n FROM labels l JOIN embeddings e ON e.vec_id = l.node GROUP BY ALL)
+SELECT scale, cluster, CAST(sum(n) OVER (PARTITION BY scale, cluster) AS BIGINT) AS size, label, n FROM n QUALIFY sum(n) OVER (PARTITION BY scale, cluster) > 2""")
+def cluster_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+    return evaluate.cluster_tags(engine.cluster(_embeddings(spark, sf_dir), MIN_CONFIG), labels)
+
+
+@query(f"""WITH RECURSIVE {HIGH_EDGES_SQL}, edges AS MATERIALIZED (SELECT * FROM near),
+{_labels_sql(HIGH_SCALES)} SELECT scale, node AS item_id, label AS cluster FROM labels""")
+def highd_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.run_highd(_embeddings(spark, sf_dir), 64, 0.1, scales=list(HIGH_SCALES))
+
+
+@query(f"""WITH RECURSIVE {HIGH_EDGES_SQL},
+unit AS MATERIALIZED (SELECT item_id, list(e ORDER BY dim) AS v FROM u GROUP BY item_id),
+directed AS (SELECT scale, near.u AS src, near.v AS dst FROM near UNION ALL SELECT scale, near.v, near.u FROM near
+  UNION ALL SELECT CAST(s AS INTEGER), item_id, item_id FROM unit, generate_series({HIGH_SCALES[0]}, {HIGH_SCALES[-1]}) AS t(s)),
+cosine AS MATERIALIZED (SELECT scale, src, dst, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS c FROM directed JOIN unit a ON a.item_id = src JOIN unit b ON b.item_id = dst),
+ranked AS (SELECT scale, src, dst, c, sqrt(avg(exp((c - 1) / 0.1::DOUBLE)) OVER (PARTITION BY scale, src)) AS sigma, row_number() OVER (PARTITION BY scale, src ORDER BY c DESC, dst) AS r FROM cosine),
+edges AS MATERIALIZED (SELECT DISTINCT scale, least(src, dst) AS u, greatest(src, dst) AS v FROM ranked WHERE src <> dst AND (c - 1 >= -sigma OR r = 2)),
+{_labels_sql(HIGH_SCALES)},
+{F1_SQL}""")
+def gaussian_cluster_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _f1(spark, sf_dir, engine.run_gaussian(_embeddings(spark, sf_dir), 64, 0.1, scales=list(HIGH_SCALES)))
+
+
 @query(f"""WITH RECURSIVE {_pairs_sql(5)},
 unit AS MATERIALIZED (SELECT item_id, list(e ORDER BY dim) AS v FROM u GROUP BY item_id),
 directed AS (SELECT pairs.u AS src, pairs.v AS dst FROM pairs UNION ALL SELECT pairs.v, pairs.u FROM pairs UNION ALL SELECT item_id, item_id FROM unit),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class ClusterConfig:
     """model: "SD" (grid codes, few dimensions), "MIN" (signatures, many) or
-    "auto" (SD below four dimensions).  end_scale 0: the largest scale that the
+    "auto" (SD below four dimensions), or "by_rows" (SD for more than 3^d rows).  end_scale 0: the largest scale that the
     data allow.  scales: if given, these, whatever range the data suggest.  grid: "per_dim"
     (each dimension has its own cell width) or "isotropic" (the widest one's for
     all).  growth: the factor of a scale less one, for MIN thresholds."""
@@ -30,8 +30,8 @@ class ClusterConfig:
     local_edges: int = 1_000_000
 
     def __post_init__(self):
-        if self.model not in ("SD", "MIN", "auto"):
-            raise ValueError(f"model must be SD, MIN or auto, not {self.model!r}")
+        if self.model not in ("SD", "MIN", "auto", "by_rows"):
+            raise ValueError(f"model must be SD, MIN, auto or by_rows, not {self.model!r}")
         if self.start_scale < 1 or self.end_scale < 0 or 0 < self.end_scale < self.start_scale:
             raise ValueError("scales must satisfy 1 <= start_scale <= end_scale, or end_scale 0")
         if self.hash_functions < 1 or self.bands < 1 or self.hash_functions % self.bands:

@@ -1,7 +1,8 @@
 """Multi-scale clustering: from items to one table of (scale, item_id, cluster).
 
 All scales are computed in one plan.  Driver boundaries are one row of
-statistics, which fixes the grid, and the check of the number of edges.
+statistics, which fixes the grid, and the check of the number of edges.  Written
+tables stay until the driver ends; ``scratch.release`` deletes them earlier.
 """
 
 from __future__ import annotations
@@ -14,16 +15,36 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import normalise
+from ..functions.vectors import dot, normalise
 from ..operators import minhash, sdcode, stats
-from ..operators.components import _ensure_checkpoint_dir, grouped_components
+from ..operators.components import grouped_components
+from ..scratch import materialise
 from .config import ClusterConfig
 
 
+@dataclass
+class SdCode:
+    """A grid: item cells at the largest scale, the occupied ones of them, those
+    of all scales, and the pairs of these that touch."""
+
+    cells: DataFrame
+    base: DataFrame
+    nodes: DataFrame
+    pairs: DataFrame
+    d: int
+    largest: int
+    scales: list[int]
+
+    def labelled(self, labels: DataFrame) -> SdRun:
+        """With the labels ``(scale, node, component)`` of the pairs' components."""
+        labels = labels.withColumnRenamed("node", "code")
+        named = self.nodes.join(labels, ["scale", "code"], "left").withColumn("cluster", F.coalesce("component", "code")).drop("component")
+        return SdRun(self.cells, self.base, named, self.d, self.largest, self.scales)
+
+
 @dataclass
 class SdRun:
-    """A grid clustering: item cells at the largest scale, the occupied ones of
-    them, and those of all scales with their labels (the component's least code)."""
+    """A grid clustering: as SdCode, nodes with their labels (the component's least code)."""
 
     cells: DataFrame
     base: DataFrame
@@ -49,7 +70,11 @@ class SdRun:
         return joined.select("item_id", F.explode("_labels").alias("_l")).select("_l.scale", "item_id", "_l.cluster")
 
 
-def resolve_model(config: ClusterConfig, d: int) -> str:
+def resolve_model(config: ClusterConfig, d: int, n: int | None = None) -> str:
+    """``auto``: SD below four dimensions; ``by_rows``: SD for more than 3^d rows, as
+    far as a grid's neighbourhoods can be listed."""
+    if config.model == "by_rows":
+        return "SD" if n > 3**d and d <= config.max_sd_dimensions else "MIN"
     if config.model != "auto":
         return config.model
     return "SD" if d < 4 else "MIN"
@@ -63,38 +88,42 @@ def _scales(config: ClusterConfig, most: int) -> list[int]:
     return found
 
 
-def run_sd(items: DataFrame, config: ClusterConfig, d: int, largest: int | None = None) -> SdRun | None:
+def encode_sd(items: DataFrame, config: ClusterConfig, d: int, largest: int | None = None) -> SdCode | None:
     """items: ``item_id, vec``, and ``tokens`` if the largest scale is to follow
     from the numbers' text; without it their decimal text is taken.  Cells are
     computed at ``largest``, or else at the largest scale asked for."""
     if d > config.max_sd_dimensions:
         raise ValueError(f"{d} dimensions have {3**d} neighbours a cell; use MIN above {config.max_sd_dimensions}")
-    digits = {}
-    if not config.scales:
-        texts = items if "tokens" in items.columns else items.withColumn("tokens", F.transform("vec", lambda x: x.cast("string")))
-        digits = {r.dim: r.digits for r in stats.precision(texts, d).collect()}
-    items = items.select("item_id", "vec")
+    whole = items if "tokens" in items.columns else items.withColumn("tokens", F.transform("vec", lambda x: x.cast("string")))
     if config.standardise:
-        items = normalise(items)
-    found = stats.column_stats(items, d).collect()
+        whole, items = normalise(whole), normalise(items.select("item_id", "vec"))
     if config.scales:
+        found = stats.column_stats(items.select("item_id", "vec"), d).collect()
         scales = sorted(set(config.scales))
-    elif all(not r["diff"] for r in found):
-        scales = _scales(config, max(config.end_scale, config.start_scale))  # one cell at any scale
     else:
-        scales = _scales(config, stats.max_sd_scale(found, digits))
+        found = stats.grid_stats(whole, d)
+        if all(not r["diff"] for r in found):
+            scales = _scales(config, max(config.end_scale, config.start_scale))  # one cell at any scale
+        else:
+            scales = _scales(config, stats.max_sd_scale(found, {r["dim"]: r["digits"] for r in found}))
     if not scales:
         return None
     largest = largest or max(scales)
     names = [f"c{j}" for j in range(d)]
-    cells = sdcode.cell_columns(items, found, largest, config.grid).select("item_id", *names)
-    _ensure_checkpoint_dir(items.sparkSession)
-    base = sdcode.occupied_base(cells, d).checkpoint()
-    nodes = sdcode.nodes_of(base, d, largest, scales).checkpoint()
-    pairs = sdcode.neighbour_pairs(nodes, d, config.radius).checkpoint()
-    labels = grouped_components(pairs, ["scale"], config.local_edges).withColumnRenamed("node", "code")
-    named = nodes.join(labels, ["scale", "code"], "left").withColumn("cluster", F.coalesce("component", "code")).drop("component")
-    return SdRun(cells, base, named, d, largest, scales)
+    cells = sdcode.cell_columns(items.select("item_id", "vec"), found, largest, config.grid).select("item_id", *names)
+    base = materialise(sdcode.occupied_base(cells, d), "base")
+    nodes = sdcode.nodes_of(base, d, largest, scales)
+    pairs = sdcode.neighbour_pairs(nodes, d, config.radius)
+    if base.count() * len(scales) > config.local_edges:  # else they are found again in less time than a table takes
+        nodes = materialise(nodes, "nodes")
+        pairs = materialise(sdcode.neighbour_pairs(nodes, d, config.radius), "pairs")
+    return SdCode(cells, base, nodes, pairs, d, largest, scales)
+
+
+def run_sd(items: DataFrame, config: ClusterConfig, d: int, largest: int | None = None) -> SdRun | None:
+    """``encode_sd`` and the components; None if no scale is in range."""
+    code = encode_sd(items, config, d, largest)
+    return code and code.labelled(grouped_components(code.pairs, ["scale"], config.local_edges))
 
 
 def min_ladder(config: ClusterConfig, d: int) -> list[tuple[int, float]]:
@@ -111,23 +140,78 @@ def min_bits(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     return items.select("item_id", minhash.shingle_bits(F.col("vec"), [mid[j] for j in range(d)]).alias("bits"))
 
 
+def encode_min(items: DataFrame, config: ClusterConfig, d: int, ladder: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame]:
+    """``(item_id, sig)`` and the edges ``(scale, u, v)``."""
+    sigs = materialise(minhash.signatures(min_bits(items, config, d), d, config.hash_functions, config.seed), "signatures")
+    pairs = minhash.candidates(minhash.bands(sigs, config.hash_functions, config.bands), config.hub_limit)
+    scored = minhash.scored_pairs(pairs, sigs, config.hash_functions, min(t for _, t in ladder))
+    return sigs, materialise(minhash.ladder_edges(scored, ladder), "edges")
+
+
+def label_items(ids: DataFrame, found: DataFrame, scales: list[int], keep_unmatched: bool) -> DataFrame:
+    """``(scale, item_id, cluster)`` from components ``(scale, node, component)``;
+    an item without an edge is a cluster of its own, or left out."""
+    found = found.select("scale", F.col("node").alias("item_id"), F.col("component").alias("cluster"))
+    if not keep_unmatched:
+        return found
+    every = ids.select(F.explode(F.array(*[F.lit(s) for s in scales])).alias("scale"), "item_id")
+    return every.join(found, ["scale", "item_id"], "left").withColumn("cluster", F.coalesce("cluster", "item_id"))
+
+
+def _none(items: DataFrame, cluster: str | None = None) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.sparkSession.createDataFrame([], f"scale int, item_id {kind}, cluster {cluster or kind}")
+
+
 def run_min(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     """``(scale, item_id, cluster)`` by signatures; the label is the least item id."""
     ladder = min_ladder(config, d)
-    spark = items.sparkSession
-    kind = items.schema["item_id"].dataType.simpleString()
     if not ladder:
-        return spark.createDataFrame([], f"scale int, item_id {kind}, cluster {kind}")
-    _ensure_checkpoint_dir(spark)
-    sigs = minhash.signatures(min_bits(items, config, d), d, config.hash_functions, config.seed).checkpoint()
-    pairs = minhash.candidates(minhash.bands(sigs, config.hash_functions, config.bands), config.hub_limit)
-    scored = minhash.scored_pairs(pairs, sigs, config.hash_functions).filter(F.col("sim") >= min(t for _, t in ladder))
-    edges = minhash.ladder_edges(scored, ladder).checkpoint()
-    found = grouped_components(edges, ["scale"], config.local_edges).select("scale", F.col("node").alias("item_id"), F.col("component").alias("cluster"))
-    if not config.keep_unmatched:
-        return found
-    every = sigs.select(F.explode(F.array(*[F.lit(s) for s, _ in ladder])).alias("scale"), "item_id")
-    return every.join(found, ["scale", "item_id"], "left").withColumn("cluster", F.coalesce("cluster", "item_id"))
+        return _none(items)
+    sigs, edges = encode_min(items, config, d, ladder)
+    return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
+
+
+def _weber_pairs(items: DataFrame, d: int, weber: float, d0: float, scales: list[int] | None, config: ClusterConfig) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
+    """Signatures, pairs scored without a hub limit, and the ladder from d0."""
+    every = list(enumerate(stats.similarity_ladder(d, weber, d0)))
+    ladder = [(s, t) for s, t in every if scales is None or s in scales]
+    sigs = materialise(minhash.signatures(min_bits(items, config, d), d, config.hash_functions, config.seed), "signatures")
+    pairs = minhash.candidates(minhash.bands(sigs, config.hash_functions, config.bands), None)
+    scored = minhash.scored_pairs(pairs, sigs, config.hash_functions, min((t for _, t in ladder), default=2.0))
+    return sigs, materialise(scored, "scored"), ladder
+
+
+#: Signatures of the runs below: 128 functions, as many bands as find pairs of a similarity of 0.4.
+WEBER_CONFIG = ClusterConfig(model="MIN", hash_functions=128, bands=32, hub_limit=None)
+
+
+def run_highd(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0, scales: list[int] | None = None, config: ClusterConfig = WEBER_CONFIG) -> DataFrame:
+    """``(scale, item_id, cluster)`` by signatures, all pairs of a band's bucket
+    included; scale s = 0, 1, ... has the threshold (1 + weber)^s / d, at most 1."""
+    sigs, scored, ladder = _weber_pairs(items, d, weber, d0, scales, config)
+    if not ladder:
+        return _none(items)
+    edges = minhash.ladder_edges(scored, ladder)
+    return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
+
+
+def run_gaussian(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0, scales: list[int] | None = None, width: float = 0.1, config: ClusterConfig = WEBER_CONFIG) -> DataFrame:
+    """As ``run_highd``, but of an item's neighbours at a scale only those stay
+    that ``gaussian_prune`` keeps by the cosine of the vectors."""
+    sigs, scored, ladder = _weber_pairs(items, d, weber, d0, scales, config)
+    if not ladder:
+        return _none(items)
+    unit = normalise(items.select("item_id", "vec"))
+    a, b = (unit.select(F.col("item_id").alias(n), F.col("vec").alias(f"_{n}")) for n in ("u", "v"))
+    near = materialise(scored.join(a, "u").join(b, "v").select("u", "v", "sim", dot(F.col("_u"), F.col("_v")).alias("cos")), "cosines")
+    steps = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(t).alias("least")) for s, t in ladder])
+    near = near.select("u", "v", "cos", F.explode(F.filter(steps, lambda x: F.col("sim") >= x["least"])).alias("_s")).select("_s.scale", "u", "v", "cos")
+    own = unit.select(F.explode(F.array(*[F.lit(s) for s, _ in ladder])).alias("scale"), F.col("item_id").alias("src"), F.col("item_id").alias("dst"), dot(F.col("vec"), F.col("vec")).alias("cos"))
+    way = lambda src, dst: near.select("scale", F.col(src).alias("src"), F.col(dst).alias("dst"), "cos")
+    kept = minhash.gaussian_prune(way("u", "v").unionByName(way("v", "u")).unionByName(own), width, ["scale"])
+    edges = materialise(kept.filter("src <> dst").select("scale", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "edges")
+    return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 
 def run_weber(items: DataFrame, d: int, weber: float = 1.0, span: float = 0.0, scales: list[int] | None = None, local_edges: int = 1_000_000) -> DataFrame:
@@ -140,7 +224,6 @@ def run_weber(items: DataFrame, d: int, weber: float = 1.0, span: float = 0.0, s
     side, which must not exceed 20."""
     found = stats.column_stats(items, d).collect()
     least = stats.min_gap(items).agg(F.min("gap")).first()[0]
-    kind = items.schema["item_id"].dataType.simpleString()
     if least is None:  # all values are equal
         return items.select(F.lit(0).alias("scale"), "item_id", F.lit(0).cast("long").alias("cluster"))
     most = span or max(r["max"] for r in found) - min(r["min"] for r in found)
@@ -148,19 +231,18 @@ def run_weber(items: DataFrame, d: int, weber: float = 1.0, span: float = 0.0, s
     every = range(stats.scale_count(weber, most, least))
     wanted = [s for s in (every if scales is None else scales) if s in every and (weber != 1 or s < bits)]
     if not wanted:
-        return items.sparkSession.createDataFrame([], f"scale int, item_id {kind}, cluster long")
+        return _none(items, "long")
     if weber == 1:
         config = ClusterConfig(scales=tuple(s + 1 for s in wanted), standardise=False, grid="isotropic", local_edges=local_edges)
         return run_sd(items, config, d, bits).items().withColumn("scale", F.col("scale") - 1)
     radii = {s: stats.neighbour_radius(weber, bits, s) for s in wanted}
-    _ensure_checkpoint_dir(items.sparkSession)
     cells = sdcode.cell_columns(items.select("item_id", "vec"), found, bits, "isotropic")
-    nodes = sdcode.occupied(cells, d, bits, [bits]).checkpoint()
+    nodes = materialise(sdcode.occupied(cells, d, bits, [bits]), "nodes")
     parts = [sdcode.neighbour_pairs(nodes, d, n).withColumn("scale", F.lit(s)) for s, n in radii.items() if n]
     code = nodes.select("code", *[f"c{j}" for j in range(d)])
     labelled = code.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in wanted])))
     if parts:
-        pairs = reduce(DataFrame.unionByName, parts).checkpoint()
+        pairs = materialise(reduce(DataFrame.unionByName, parts), "pairs")
         labels = grouped_components(pairs, ["scale"], local_edges).withColumnRenamed("node", "code")
         labelled = labelled.join(labels, ["scale", "code"], "left").withColumn("cluster", F.coalesce("component", "code"))
     else:
@@ -175,10 +257,8 @@ def cluster(items: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
     No rows, or no scale in range, give an empty table."""
     config = config or ClusterConfig()
     d = stats.dimension_count(items)
-    kind = items.schema["item_id"].dataType.simpleString()
-    if d and resolve_model(config, d) == "MIN":
+    n = items.count() if d and config.model == "by_rows" else None
+    if d and resolve_model(config, d, n) == "MIN":
         return run_min(items, config, d)
     run = run_sd(items, config, d) if d else None
-    if run is None:
-        return items.sparkSession.createDataFrame([], f"scale int, item_id {kind}, cluster long")
-    return run.items()
+    return run.items() if run else _none(items, "long")

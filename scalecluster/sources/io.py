@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import parse_vector
+from ..operators.skew import totals_before
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``(item_id, value)``: lines by their place, from 0, files in order of their
+    names.  Lines are counted by the blocks that files are read in; the running
+    totals of these counts and a line's place in its block give its number."""
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    files = totals_before(blocks.groupBy("_path").agg(F.sum("_n").alias("_n")).withColumn("_file", F.rank().over(Window.orderBy("_path")) - 1), [], "_file", "_n", "_files").select("_path", "_files")
+    within = F.sum("_n").over(Window.partitionBy("_path").orderBy("_start")) - F.col("_n")
+    blocks = blocks.withColumn("_before", within).join(files, "_path").select("_path", "_start", (F.col("_before") + F.col("_files") - F.col("_first")).alias("_shift"))
+    return placed.join(blocks, ["_path", "_start"]).select((F.col("_at") + F.col("_shift")).alias("item_id"), "value")
 
 
 def read_text(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
@@ -13,12 +26,7 @@ def read_text(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     or commas.  item_id is the line's place, from 0; blank lines are left out
     after numbering."""
     lines = spark.read.text(path)
-    if ids:
-        # zipWithIndex is the one way to number lines in order without a sort
-        numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-        lines = spark.createDataFrame(numbered, "item_id long, value string")
-    else:
-        lines = lines.withColumn("item_id", F.monotonically_increasing_id())
+    lines = _numbered(lines) if ids else lines.withColumn("item_id", F.monotonically_increasing_id())
     tokens = F.filter(F.split("value", r"\s+|,"), lambda t: t != "")
     return lines.select("item_id", parse_vector(F.col("value")).alias("vec"), tokens.alias("tokens")).filter(F.size("vec") > 0)
 
@@ -63,15 +71,29 @@ def read_clusters(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 
 def write_report(members: DataFrame, path: str) -> None:
-    """Lines "scale<tab>cluster<tab>names", from evaluate.cluster_members."""
+    """Lines "scale<tab>cluster<tab>names", from evaluate.cluster_members; a
+    cluster listed in parts has a line for each."""
     line = F.concat_ws("\t", F.col("scale").cast("string"), F.col("cluster").cast("string"), F.array_join("members", ", "))
-    members.orderBy("scale", "cluster").select(line.alias("value")).write.text(path)
+    members.orderBy("scale", "cluster", "part").select(line.alias("value")).write.text(path)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    edges.write.partitionBy("scale").parquet(path)
+    """Lines "u,v", one folder for each scale."""
+    edges.select("u", "v", "scale").write.partitionBy("scale").csv(path)
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
+def read_edges(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """``(u, v, scale)``; a folder without files gives no rows."""
-    return spark.read.schema("u long, v long, scale int").parquet(path)
+    return spark.read.schema(f"u {kind}, v {kind}, scale int").csv(path)
+
+
+def write_components(components: DataFrame, path: str) -> None:
+    """Lines "node,component" under the header "__id,component_id", one folder for each scale."""
+    named = components.select(F.col("node").alias("__id"), F.col("component").alias("component_id"), "scale")
+    named.write.partitionBy("scale").option("header", True).csv(path)
+
+
+def read_components(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
+    """``(scale, node, component)``."""
+    rows = spark.read.schema(f"__id {kind}, component_id {kind}, scale int").option("header", True).csv(path)
+    return rows.select("scale", F.col("__id").alias("node"), F.col("component_id").alias("component"))

@@ -263,3 +263,137 @@ def test_weber_scales(spark):
     assert labels(engine.run_weber(same, 1), 0) == [0, 0]
     with pytest.raises(ValueError):
         engine.run_weber(items, 2, 0.9, scales=[0])
+
+
+def test_edges_and_components_are_kept(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 5, 2), (1, 2, 9), (2, 4, 3)], "scale int, u long, v long")
+    io.write_edges(edges, str(tmp_path / "edges"))
+    assert (tmp_path / "edges" / "scale=1").is_dir()
+    again = io.read_edges(spark, str(tmp_path / "edges"))
+    assert sorted(map(tuple, again.select("scale", "u", "v").collect())) == [(1, 2, 9), (1, 5, 2), (2, 4, 3)]
+    found = grouped_components(again.select("scale", "u", "v"), ["scale"])
+    io.write_components(found, str(tmp_path / "components"))
+    heads = {f.read_text().splitlines()[0] for f in (tmp_path / "components").glob("scale=*/*.csv")}
+    assert heads == {"__id,component_id"}
+    assert sorted(map(tuple, io.read_components(spark, str(tmp_path / "components")).collect())) == [(1, 2, 2), (1, 5, 2), (1, 9, 2), (2, 3, 3), (2, 4, 3)]
+    io.write_edges(edges.limit(0), str(tmp_path / "none"))
+    nothing = io.read_edges(spark, str(tmp_path / "none")).select("scale", "u", "v")
+    assert nothing.count() == 0
+    io.write_components(grouped_components(nothing, ["scale"]), str(tmp_path / "no-components"))
+    assert io.read_components(spark, str(tmp_path / "no-components")).count() == 0
+
+
+@pytest.mark.parametrize("model", ["SD", "MIN", "by_rows"])
+def test_job_in_one_and_in_steps(spark, tmp_path, model):
+    from scalecluster import job
+
+    (tmp_path / "in.txt").write_text("\n".join({"SD": SD7, "by_rows": SD7 * 2}.get(model) or [" ".join(f"{c}.0" for c in t) for t in MIN5]))
+    env = {"DATA_PATH": str(tmp_path / "in.txt"), "CODE_MODEL": model, "LAMBDA": "0.5", "START_SCALE": "1", "END_SCALE": "0", "DATA_STANDARDIZATION": "FALSE", "NUMBER_OF_HASHTABLES": "10", "NUMBER_OF_BUCKETS": "5", "SPARK_DEFAULT_PARALLELISM": "4"}
+    job.run(spark, env | {"OUTPUT_PATH": str(tmp_path / "one")})
+    for step in "123":
+        job.run(spark, env | {"OUTPUT_PATH": str(tmp_path / "three"), "STEP": step})
+        assert (tmp_path / "three" / "tmp").exists() == (step != "3")
+    rows = [sorted((r.scale, r.item_id, r.cluster) for r in io.read_clusters(spark, str(tmp_path / n / "clusters")).collect()) for n in ("one", "three")]
+    assert rows[0] == rows[1]
+    by_scale = {s: [int(c) for t, _, c in rows[0] if t == s] for s in {t for t, _, _ in rows[0]}}
+    if model == "SD":
+        assert by_scale[4] == [0, 0, 0, 255, 255, 170, 193] and set(by_scale) == {1, 2, 3, 4, 5}
+    elif model == "by_rows":
+        assert by_scale[4] == [0, 0, 0, 255, 255, 170, 193] * 2
+    else:
+        assert by_scale[4] == [0, 0, 2, 2, 2] and set(by_scale) == {1, 2, 3, 4}
+    with pytest.raises(ValueError):
+        job.run(spark, env | {"OUTPUT_PATH": "x", "STEP": "4"})
+
+
+def test_job_of_nothing(spark, tmp_path):
+    from scalecluster import job
+
+    (tmp_path / "in.txt").write_text("")
+    job.run(spark, {"DATA_PATH": str(tmp_path / "in.txt"), "OUTPUT_PATH": str(tmp_path / "out")})
+    assert not (tmp_path / "out" / "tmp").exists() and not (tmp_path / "out" / "clusters").exists()
+
+
+def test_lines_are_numbered_across_files_and_blocks(spark, tmp_path):
+    rows = [f"{i}.5,{i % 7}.0" for i in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(rows[:2500]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(rows[2500:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = io.read_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.item_id, r.vec[0]) for r in got) == [(i, i + 0.5) for i in range(4000)]
+
+
+def test_min_gap_of_many_ranges(spark):
+    r = random.Random(2)
+    rows = [(i, [round(r.random() * 50, 2), float(r.randrange(9)), 3.0]) for i in range(400)] + [(400, [float("nan"), 2.0, 3.0])]
+    got = {x.dim: x.gap for x in stats.min_gap(spark.createDataFrame(rows, "item_id long, vec array<double>").repartition(5)).collect()}
+    for j in (0, 1):
+        values = sorted({v[j] for _, v in rows if v[j] == v[j]})
+        assert got[j] == min(b - a for a, b in zip(values, values[1:]))
+    assert set(got) == {0, 1}
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from scalecluster.operators import skew
+
+    rows = spark.createDataFrame([(0, i) for i in range(50)] + [(k, k) for k in range(1, 9)] + [(None, 1)], "k int, x int")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("x").alias("m"))
+    expected = sorted(map(tuple, rows.join(table.drop("_n"), "k").collect()))
+    assert sorted(map(tuple, skew.join_counted(rows, table, ["k"], 59).collect())) == expected
+    monkeypatch.setattr(skew, "LEAST_HOT", 10)
+    split = skew.join_counted(rows, table, ["k"], 59)
+    assert sorted(map(tuple, split.collect())) == expected
+    groups = spark.createDataFrame([(a, i, i % 5) for a in "xy" for i in range(30)], "a string, i long, n long")
+    got = {(r.a, r.i): r.before for r in skew.totals_before(groups, ["a"], "i", "n", "before", block=4).collect()}
+    assert got == {(a, i): sum(j % 5 for j in range(i)) for a in "xy" for i in range(30)}
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from scalecluster.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(59, 100)], "u long, v long")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(i, 0) for i in [*range(60), *range(100, 121)]}
+
+
+def test_large_clusters_are_listed_in_parts(spark):
+    clusters = spark.range(40).select(F.lit(1).alias("scale"), F.col("id").alias("item_id"), (F.col("id") % 2 * (F.col("id") < 8).cast("long")).alias("cluster"))
+    names = spark.range(40).select(F.col("id").alias("item_id"), F.format_string("n%02d", "id").alias("name"))
+    got = evaluate.cluster_members(clusters, names, chunk=10).collect()
+    assert len({r.part for r in got if r.cluster == 0}) > 1 and [r.members for r in got if r.cluster == 1] == [["n01", "n03", "n05", "n07"]]
+    assert sorted(x for r in got for x in r.members) == [f"n{i:02}" for i in range(40)] and all(r.members == sorted(r.members) for r in got)
+
+
+def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from scalecluster import scratch
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("C", (), {"get": lambda self, *a: None})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+    Context.master = "local[2]"
+    assert scratch.shared_dir(Session()).startswith("file://")
+    since = scratch.mark()
+    one, two = scratch.materialise(spark.range(3), "one"), scratch.bucketed(spark.range(5), "two", "id")
+    assert one.count() == 3 and two.count() == 5
+    scratch.release(spark, since, one)
+    assert one.count() == 3 and not spark.catalog.tableExists("scratch_" + two._scratch_path.rsplit("-", 1)[1])
+    scratch.discard(one)
+
+
+def test_models_by_rows(spark):
+    config = ClusterConfig(model="by_rows")
+    assert [engine.resolve_model(config, 2, n) for n in (9, 10)] == ["MIN", "SD"] and engine.resolve_model(config, 9, 10**6) == "MIN"
+    items = spark.createDataFrame([(i, [float(i % 4), float(i % 3)]) for i in range(12)], "item_id long, vec array<double>")
+    assert engine.cluster(items, ClusterConfig(model="by_rows", standardise=False, scales=(1,))).count() == 12
+    assert engine.run_highd(items, 2, 1.0, scales=[99]).count() == 0 and engine.run_gaussian(items, 2, 1.0, scales=[]).count() == 0
