@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalecluster.llm import decontaminate, packing, rlz, simhash, toxicity
-from scalecluster.llm.storage import mark, materialise, release
+from scalecluster.scratch import mark, materialise, release
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
