@@ -1,21 +1,30 @@
 """Scoring of texts by a log-bilinear language model.
 
-Tokens are lower-cased words and one end token for each text.  They belong to
-classes: the end, the most frequent words (each a class of its own), and for all
+Tokens are lower-cased words and one end token for each text.  The probability
+of a token is a product over a tree of two levels and a leaf.  Classes come
+first: the end, the most frequent words (each a class of its own), and for all
 other words their last two bytes (the most frequent endings; one class for the
-rest).  The probability of a token is that of its class given the classes of
-the CONTEXT tokens before it, times its own share of the class.
-
-The first factor is a log-bilinear model (Mnih and Hinton): the context's class
-vectors, each scaled by its position's vector, are summed and multiplied with
-the predicted class's vector, plus a bias.  It is trained in numpy with
-noise-contrastive estimation against the classes' frequencies: a start on a
-bounded sample, then one pass over all training texts in parallel, whose
-parameters are averaged by tokens.  For scores, matrix products over batches of
-tokens give all classes, so the log-probabilities are normalised exactly.
-The second factor is (c + 1) / (N' + V' + 1) with the class's training tokens N'
+rest).  A class of an ending has members: its most frequent words, more of them
+in a larger vocabulary, and one member for all of its other words.  Both levels
+are predicted from the context; a token's share of the other words of its class
+comes from the counts.
+
+A context is the CONTEXT tokens before, each told apart as finely as the tree
+does.  A log-bilinear model (Mnih and Hinton) sums their vectors, each scaled by
+its position's vector, and multiplies the sum with the vectors of the predicted
+classes, and of the predicted members of the class, plus biases.  It is trained
+in numpy with noise-contrastive estimation, against the classes' frequencies
+and, within a class, its members': a start on a bounded sample, then one pass
+over all training texts in parallel, whose parameters are averaged by tokens.
+For scores, matrix products over batches of tokens give all classes and all
+members of a class, so the log-probabilities are normalised exactly.  The share
+of a class's other words is (c + 1) / (N' + V' + 1) with their training tokens N'
 and distinct words V'; the remaining 1 is the share of unseen words.
 
+Training texts are dealt to groups by a hash of id and text, sorted, and cut
+into steps of BATCH tokens; noise is drawn by the group's number.  So the model
+doesn't depend on how tables are partitioned.
+
 Token counts cover all training texts and stay distributed.  The most frequent
 HOT_TOKENS counts at most go to the scoring tasks; rarer tokens are joined with
 the count table, as (token, row) pairs summed by row.
@@ -30,22 +39,31 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from ..session import map_arrow
-from .storage import materialise
 from .textkit import NOT_SPACE, Words, pieces
 from .toxicity import held_out
 
 WORD_CLASSES, ENDING_CLASSES = 160, 94
-CONTEXT, WIDTH = 6, 12
-NOISE, BATCH = 32, 2048
+#: Members of an ending's class, the other words included: one in MEMBER_SHARE
+#: words of the vocabulary, if they were spread evenly, within these limits.
+MEMBER_SHARE, MEMBERS = 8, (16, 128)
+CONTEXT, WIDTH = 6, 16
+NOISE, MEMBER_NOISE, BATCH = 32, 4, 2048
 HOT_TOKENS = 1 << 19
+#: Text bytes of a group of training texts, about.
+GROUP_BYTES = 16 << 20
+#: Parameters that are summed as one row.
+CHUNK = 1 << 13
 #: Text bytes of the sample for the start, about.
 START_BYTES = 3 << 20
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5BD1E995C0FFEE01)
+#: The bias of a member that its class doesn't have.
+ABSENT = -1e4
 f4 = np.float32
 
 
@@ -85,26 +103,46 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 class Classes:
     """The class of every token: 0 the end (also what stands before a text),
-    then words, then endings, last all other words."""
-
-    def __init__(self, words: np.ndarray, endings: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.word_class = words[order], (1 + order).astype(np.int16)
-        self.count = 2 + len(words) + len(endings)
-        self.of_ending = np.full(1 << 16, self.count - 1, dtype=np.int16)
-        self.of_ending[endings] = 1 + len(words) + np.arange(len(endings))
+    then words, then endings, last all other words; and the members of these."""
+
+    def __init__(self, words: np.ndarray, endings: np.ndarray, members: np.ndarray, member_class: np.ndarray, slots: int):
+        """members: words and their classes, the most frequent of a class first; at most slots - 1 of a class."""
+        self.single, self.slots = 1 + len(words), slots  # classes of one token, and members of each of the others
+        self.count = self.single + len(endings) + 1
+        self.shared = self.count - self.single
+        self.symbols = self.single + self.shared * slots
+        self.of_ending = np.full(1 << 16, self.count - 1, dtype=np.int32)
+        self.of_ending[endings] = self.single + np.arange(len(endings))
+        order = np.lexsort((np.arange(len(members)), member_class))
+        members, member_class = members[order], member_class[order]
+        first = np.searchsorted(member_class, member_class)
+        slot = np.arange(len(members)) - first
+        known = np.concatenate([words, members])
+        symbol = np.concatenate([1 + np.arange(len(words)), self.single + (member_class - self.single) * slots + slot])
+        order = np.argsort(known)
+        self.words, self.symbol = known[order], symbol[order].astype(np.int32)
         self.maybe = np.zeros(1 << 16, dtype=bool)
-        self.maybe[words >> np.uint64(48)] = True
+        self.maybe[known >> np.uint64(48)] = True
 
     def of(self, t: Tokens) -> np.ndarray:
-        out = np.where(t.ending >= 0, self.of_ending[np.maximum(t.ending, 0)], np.int16(0))
+        """Symbols: a class of one token, or a class's member, of which the last is for other words."""
+        other = self.single + (self.of_ending[np.maximum(t.ending, 0)] - self.single) * self.slots + self.slots - 1
+        out = np.where(t.ending >= 0, other, np.int32(0))
         if len(self.words):
             at = np.flatnonzero(self.maybe[t.hash >> np.uint64(48)])
             k = np.minimum(np.searchsorted(self.words, t.hash[at]), len(self.words) - 1)
             hit = self.words[k] == t.hash[at]
-            out[at[hit]] = self.word_class[k[hit]]
+            out[at[hit]] = self.symbol[k[hit]]
         return out.astype(np.intp)
 
+    def split(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The classes; the places of symbols with members; and these symbols from 0."""
+        at = np.flatnonzero(symbol >= self.single)
+        member = symbol[at] - self.single
+        out = symbol.copy()
+        out[at] = self.single + member // self.slots
+        return out, at, member
+
 
 def contexts(t: Tokens, classes: np.ndarray, size: int) -> np.ndarray:
     """(size, tokens): the class i + 1 places before each token; 0 before the text."""
@@ -117,92 +155,169 @@ def contexts(t: Tokens, classes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    """Vectors of context classes R, positions C, predicted classes Q, and biases."""
+    """Vectors of context symbols R, positions C, classes Q and members P, and biases."""
+
+    def __init__(self, r: np.ndarray, c: np.ndarray, q: np.ndarray, bias: np.ndarray, p: np.ndarray, member_bias: np.ndarray):
+        self.r, self.c, self.q, self.bias, self.p, self.member_bias = r, c, q, bias, p, member_bias
 
-    def __init__(self, r: np.ndarray, c: np.ndarray, q: np.ndarray, bias: np.ndarray):
-        self.r, self.c, self.q, self.bias = r, c, q, bias
+    def parameters(self) -> list[np.ndarray]:
+        return [self.r, self.c, self.q, self.bias, self.p, self.member_bias]
 
     @classmethod
-    def start(cls, share: np.ndarray, size: int = CONTEXT, width: int = WIDTH, seed: int = 3) -> Model:
+    def start(cls, share: np.ndarray, member_share: np.ndarray, size: int = CONTEXT, width: int = WIDTH, seed: int = 3) -> Model:
+        """share of the classes; member_share (classes with members, members), 0 where there is none.
+        A member's vector starts as its class's."""
         rng = np.random.Generator(np.random.PCG64(seed))
-        n = len(share)
-        return cls(rng.normal(0, 0.3, (n, width)).astype(f4), np.ones((size, width), f4) / f4(size), rng.normal(0, 0.1, (n, width)).astype(f4), np.log(share).astype(f4))
+        n, (shared, slots) = len(share), member_share.shape
+        by_class = rng.normal(0, 0.3, (n, width))
+        r = np.concatenate([by_class[: n - shared], np.repeat(by_class[n - shared :], slots, axis=0)])
+        q, p = rng.normal(0, 0.1, (n, width)), rng.normal(0, 0.1, (shared * slots, width))
+        member_bias = np.where(member_share > 0, np.log(np.maximum(member_share, 1e-12)), ABSENT).ravel()
+        return cls(*(x.astype(f4) for x in (r, np.ones((size, width)) / size, q, np.log(share), p, member_bias)))
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parameters()])
 
     def of(self, vector: np.ndarray) -> Model:
         out, i = [], 0
-        for x in (self.r, self.c, self.q, self.bias):
+        for x in self.parameters():
             out.append(vector[i : i + x.size].reshape(x.shape).astype(f4))
             i += x.size
         return Model(*out)
 
-    def tables(self) -> np.ndarray:
-        return self.c[:, None, :] * self.r[None, :, :]
+    def contexts(self, h: np.ndarray) -> np.ndarray:
+        """(tokens, width) for the symbols (size, tokens) before each."""
+        out = self.r[h[0]] * self.c[0]
+        for k in range(1, len(h)):
+            out += self.r[h[k]] * self.c[k]
+        return out
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logs, normalised over all classes."""
-        tables, out = self.tables(), np.empty(len(target))
-        q = np.ascontiguousarray(self.q.T)
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, classes: Classes) -> np.ndarray:
+        """Natural logs of the target symbols, normalised over all classes and all members of a class."""
+        out = np.empty(len(target))
+        q, slots = np.ascontiguousarray(self.q.T), classes.slots
         for i in range(0, len(target), BATCH):
-            h = context[:, i : i + BATCH]
-            ctx = tables[0][h[0]]
-            for k in range(1, len(tables)):
-                ctx += tables[k][h[k]]
-            z = ctx @ q
-            z += self.bias
-            own = z[np.arange(len(z)), target[i : i + BATCH]].astype(np.float64)
-            top = z.max(axis=1, keepdims=True)
-            z -= top
-            np.exp(z, out=z)
-            out[i : i + BATCH] = own - top[:, 0] - np.log(z.sum(axis=1, dtype=np.float64))
+            ctx = self.contexts(context[:, i : i + BATCH])
+            own, at, member = classes.split(target[i : i + BATCH])
+            part = _log_share(ctx @ q + self.bias, own)
+            group = member // slots
+            order = np.argsort(group, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # the tokens of one class at a time
+                rows, g = at[order[a:b]], int(group[order[a]])
+                z = ctx[rows] @ self.p[g * slots : (g + 1) * slots].T + self.member_bias[g * slots : (g + 1) * slots]
+                part[rows] += _log_share(z, member[order[a:b]] - g * slots)
+            out[i : i + BATCH] = part
         return out
 
 
+def _log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logs of the softmax of rows at ``own``; overwrites z."""
+    value = z[np.arange(len(z)), own].astype(np.float64)
+    top = z.max(axis=1, keepdims=True)
+    z -= top
+    np.exp(z, out=z)
+    return value - top[:, 0] - np.log(z.sum(axis=1, dtype=np.float64))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive steps (Adagrad) with noise shared by a batch."""
+    """Noise-contrastive steps (Adagrad): noise of the classes is shared by a
+    batch, noise of the members is drawn for each token."""
 
-    def __init__(self, model: Model, share: np.ndarray, rate: float, seed: int):
-        self.m, self.rate = Model(*(x.copy() for x in (model.r, model.c, model.q, model.bias))), rate
+    def __init__(self, model: Model, classes: Classes, share: np.ndarray, member_share: np.ndarray, rate: float, seed: int):
+        self.m, self.classes, self.rate = Model(*(x.copy() for x in model.parameters())), classes, rate
         self.log_noise = np.log(NOISE * share).astype(f4)
         self.cumulative = np.cumsum(share) / share.sum()
+        slots = classes.slots
+        shares = member_share / member_share.sum(axis=1, keepdims=True)
+        self.log_member = np.where(shares > 0, np.log(MEMBER_NOISE * np.maximum(shares, 1e-12)), 0.0).ravel().astype(f4)
+        # one ascending list for all classes: the class's number and the share up to a member
+        self.up_to = (np.arange(len(shares))[:, None] + np.minimum(np.cumsum(shares, axis=1), 1.0)).ravel()
+        self.last = np.arange(len(shares)) * slots + slots - 1  # other words are always there
         self.rng = np.random.Generator(np.random.PCG64(seed))
-        self.sums = [np.full_like(x, 1e-2) for x in (self.m.r, self.m.c, self.m.q, self.m.bias)]
-
-    def _update(self, k: int, x: np.ndarray, g: np.ndarray) -> None:
-        self.sums[k] += g * g
-        x -= f4(self.rate) * g / np.sqrt(self.sums[k])
-
-    def step(self, h: np.ndarray, target: np.ndarray) -> None:
-        m, n, classes = self.m, len(target), len(self.m.bias)
+        self.sums = [np.full_like(x, 1e-2) for x in self.m.parameters()]
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tokens = 0
+
+    def _update(self, k: int, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        """A step of some rows of a parameter, the others having no gradient."""
+        x, sums = self.m.parameters()[k], self.sums[k]
+        total = sums[rows] + g * g
+        sums[rows] = total
+        x[rows] -= f4(self.rate) * g / np.sqrt(total)
+
+    def _members(self, ctx: np.ndarray, member: np.ndarray, scale: np.float32) -> np.ndarray:
+        """A step of the members' vectors and biases; returns the contexts' gradients."""
+        m, n = self.m, len(member)
+        group = member // self.classes.slots
+        drawn = np.searchsorted(self.up_to, group[:, None] + self.rng.random((n, MEMBER_NOISE)), "right")
+        both = np.concatenate([member[:, None], np.minimum(drawn, self.last[group][:, None])], axis=1)
+        vectors = m.p[both]
+        error = _sigmoid(np.einsum("nd,nkd->nk", ctx, vectors) + m.member_bias[both] - self.log_member[both])
+        error[:, 0] -= 1
+        error = (error * scale).astype(f4)
+        rows, place = _rows(both.ravel(), len(m.p))
+        columns = (error[:, :, None] * ctx[:, None, :]).reshape(-1, ctx.shape[1]).T
+        self._update(4, _gather(place, columns, len(rows)), rows)
+        self._update(5, np.bincount(place, error.ravel(), len(rows)).astype(f4), rows)
+        return np.einsum("nk,nkd->nd", error, vectors)
+
+    def step(self, h: np.ndarray, symbol: np.ndarray) -> None:
+        m, n, classes = self.m, len(symbol), self.classes
         scale = f4(1 / np.sqrt(n))
-        tables = m.tables()
-        ctx = tables[0][h[0]]
-        for k in range(1, len(tables)):
-            ctx += tables[k][h[k]]
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), classes - 1)
+        ctx = m.contexts(h)
+        target, at, member = classes.split(symbol)
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), classes.count - 1)
         own = m.q[target]
         true = np.einsum("nd,nd->n", ctx, own) + m.bias[target] - self.log_noise[target]
         false = ctx @ m.q[noise].T + (m.bias - self.log_noise)[noise]
-        e_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1).astype(f4) * scale
-        e_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(f4) * scale
+        e_true, e_false = ((_sigmoid(true) - 1) * scale).astype(f4), (_sigmoid(false) * scale).astype(f4)
         g_ctx = e_true[:, None] * own + e_false @ m.q[noise]
-        g_q, g_b = _gather(target, np.ascontiguousarray((e_true[:, None] * ctx).T, np.float64), classes), np.bincount(target, e_true, classes).astype(f4)
+        g_q, g_b = _gather(target, (e_true[:, None] * ctx).T, classes.count), np.bincount(target, e_true, classes.count).astype(f4)
         np.add.at(g_q, noise, e_false.T @ ctx)
         np.add.at(g_b, noise, e_false.sum(axis=0))
-        g_r, g_c = np.zeros_like(m.r), np.zeros_like(m.c)
-        columns = np.ascontiguousarray(g_ctx.T, np.float64)
+        if len(at):
+            g_ctx[at] += self._members(ctx[at], member, scale)
+        rows, place = _rows(h.ravel(), len(m.r))
+        place, columns = place.reshape(h.shape), np.ascontiguousarray(g_ctx.T, np.float64)
+        old, g_r, g_c = m.r[rows], 0.0, np.zeros_like(m.c)
         for k in range(len(h)):
-            by_class = _gather(h[k], columns, classes)  # sums of g_ctx where class j stands at place k
-            g_c[k] = (by_class * m.r).sum(axis=0)
-            g_r += by_class * m.c[k]
-        for k, (x, g) in enumerate(((m.r, g_r), (m.c, g_c), (m.q, g_q), (m.bias, g_b))):
-            self._update(k, x, g)
-
-    def run(self, context: np.ndarray, target: np.ndarray) -> None:
-        for i in range(0, len(target), BATCH):
-            self.step(context[:, i : i + BATCH], target[i : i + BATCH])
+            by_symbol = _gather(place[k], columns, len(rows))  # sums of g_ctx where a symbol stands at place k
+            g_c[k] = (by_symbol * old).sum(axis=0)
+            g_r = g_r + by_symbol * m.c[k]
+        self._update(0, g_r, rows)
+        for k, g in ((1, g_c), (2, g_q), (3, g_b)):
+            self._update(k, g)
+
+    def add(self, context: np.ndarray, target: np.ndarray) -> None:
+        """Takes tokens in; steps are made of BATCH successive ones, wherever calls end."""
+        self.waiting.append((context, target))
+        self.tokens += len(target)
+        if sum(len(k) for _, k in self.waiting) >= 8 * BATCH:
+            self._steps(False)
+
+    def finish(self) -> None:
+        self._steps(True)
+
+    def _steps(self, all_: bool) -> None:
+        if not self.waiting:
+            return
+        h, k = np.concatenate([h for h, _ in self.waiting], axis=1), np.concatenate([k for _, k in self.waiting])
+        end = len(k) if all_ else len(k) // BATCH * BATCH
+        for i in range(0, end, BATCH):
+            self.step(h[:, i : i + BATCH][:, : end - i], k[i : min(i + BATCH, end)])
+        self.waiting = [(h[:, end:], k[end:])] if end < len(k) else []
+
+
+def _rows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers below n in ``at``, and where each one of ``at`` is among them."""
+    there = np.zeros(n, dtype=bool)
+    there[at] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[at]
 
 
 def _gather(at: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
@@ -230,50 +345,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_t
     one row for each input row; scores are log10 probabilities."""
     spark = docs.sparkSession
     held = held_out(id_col, FOLDS, HELD_OUT)
-    learned = docs.filter(~held).select(F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col)).alias("_order"))
+    learned = docs.filter(~held).select(F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_order"))
     counts = materialise(token_counts(learned.select("_text")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     least, hot_token, hot_n = _hot(counts, hot_tokens)
-    frequent = counts.filter((F.col("ending") >= 0) & (F.col("n") >= least))
-    words = [r.token for r in frequent.orderBy(F.desc("n"), "token").limit(WORD_CLASSES).collect()]
-    by_ending = counts.filter(~F.col("token").isin(words) if words else F.lit(True)).groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # 2^16 rows at most
-    by_ending.sort(key=lambda r: (-r.n, r.ending))
-    endings = [r.ending for r in by_ending if r.ending >= 0][:ENDING_CLASSES]
-    top = {r.token: r.n for r in counts.filter(F.col("token").isin(words)).collect()} if words else {}
-    classes = Classes(np.array(words, np.int64).view(np.uint64), np.array(endings, np.int64))
-    class_n, class_v = np.zeros(classes.count), np.zeros(classes.count)
-    for i, w in enumerate(words):
-        class_n[1 + i] = top[w]
-    for r in by_ending:
-        k = int(classes.of_ending[r.ending]) if r.ending >= 0 else 0
-        class_n[k] += r.n
-        class_v[k] += r.v if k else 0
-    own_share = np.arange(classes.count) <= len(words)  # these classes hold one token
-    share = (class_n + 1) / (class_n + 1).sum()
-    log_class = np.where(own_share, 0.0, np.log10(class_n + class_v + 1))
+    tree = _tree(counts, least, total.v)
     log_all = float(np.log10(total.n + total.v + 1))
-    shared = spark.sparkContext.broadcast((classes, share, own_share, log_class, hot_token, hot_n))
-    model = _train(learned, classes, share, start_bytes) if total.n else Model.start(share)
+    shared = spark.sparkContext.broadcast((tree, hot_token, hot_n))
+    model = _train(learned, tree, start_bytes) if total.n else Model.start(tree.share, tree.member_share)
     shared_model = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, share, own_share, log_class, hot_token, hot_n = shared.value
-        model = shared_model.value
+        tree, hot_token, hot_n = shared.value
+        classes, model = tree.classes, shared_model.value
         log_hot = np.append(np.log10(hot_n + 1.0), 0.0)
         names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "token", "times"]
         for b in pieces(batches, "_text"):
             t = Tokens(b.column(1))
             k = classes.of(t)
-            logp = model.log_probabilities(contexts(t, k, CONTEXT), k) / np.log(10) - log_class[k]
+            logp = model.log_probabilities(contexts(t, k, CONTEXT), k, classes) / np.log(10) - tree.log_others[k]
             distinct, inverse = np.unique(t.hash, return_inverse=True)
             at = np.minimum(np.searchsorted(hot_token, distinct), max(len(hot_token) - 1, 0))
             found = hot_token[at] == distinct if len(hot_token) else np.zeros(len(distinct), bool)
             log_count = np.where(found, log_hot[np.where(found, at, len(log_hot) - 1)], 0.0)[inverse]
             known = found[inverse]
-            shared_class = ~own_share[k]
             count = lambda w: np.bincount(t.row, w, minlength=t.rows)
             base = count(log_count) - t.number * log_all
-            whole = count(logp + np.where(shared_class, log_count, 0.0))
+            whole = count(logp + np.where(tree.others[k], log_count, 0.0))
             n = t.rows
             empty = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(2), pa.array(t.number), pa.array(count(known).astype(np.int64)), pa.array(base), pa.array(whole), empty(pa.int64()), empty(pa.int64())], names)
@@ -286,7 +384,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_t
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held.alias("_held"), F.monotonically_increasing_id().alias("_key"))
     kind = rows.schema["_id"].dataType.simpleString()
     scored = materialise(rows.transform(map_arrow, run, f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, token long, times long"), "scored")
-    # rarer tokens have no class of their own
+    # rarer tokens are other words of their class
     rare = scored.filter("token is not null").select("key", "token", "times").join(counts.filter(F.col("n") < least).select("token", "n"), "token")
     added = rare.groupBy("key").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("_log"))
     texts = scored.filter("token is null").drop("token", "times").join(added, "key", "left")
@@ -302,47 +400,123 @@ def _pairs(row: np.ndarray, token: np.ndarray, n: int) -> tuple[tuple[np.ndarray
     return (key // n, key % n), times
 
 
-def _train(learned: DataFrame, classes: Classes, share: np.ndarray, start_bytes: int) -> Model:
+class Tree:
+    """Classes with the training counts' shares.  For each symbol: whether it
+    stands for other words, and if so log10 of what a word's count + 1 is divided by."""
+
+    def __init__(self, classes: Classes, class_n: np.ndarray, member_n: np.ndarray, others_n: np.ndarray, others_v: np.ndarray):
+        """class_n (classes,); member_n (classes with members, members - 1), -1 where there is none; tokens and words of the others."""
+        self.classes = classes
+        self.share = (class_n + 1) / (class_n + 1).sum()
+        every = np.concatenate([member_n, others_n[:, None]], axis=1)
+        self.member_share = np.where(every >= 0, every + 1, 0) / np.where(every >= 0, every + 1, 0).sum(axis=1, keepdims=True)
+        last = classes.single + np.arange(classes.shared) * classes.slots + classes.slots - 1
+        self.others, self.log_others = np.zeros(classes.symbols, dtype=bool), np.zeros(classes.symbols)
+        self.others[last], self.log_others[last] = True, np.log10(others_n + others_v + 1)
+
+
+def _tree(counts: DataFrame, least: int, distinct: int) -> Tree:
+    """Classes and members from the counts; members have at least the count ``least``."""
+    slots = int(np.clip(distinct // (MEMBER_SHARE * (ENDING_CLASSES + 1)), *MEMBERS))
+    frequent = counts.filter((F.col("ending") >= 0) & (F.col("n") >= least))
+    top = {r.token: r.n for r in frequent.orderBy(F.desc("n"), "token").limit(WORD_CLASSES).collect()}
+    words = list(top)
+    rest = counts.filter(~F.col("token").isin(words)) if words else counts
+    by_ending = rest.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # 2^16 rows at most
+    by_ending.sort(key=lambda r: (-r.n, r.ending))
+    endings = [r.ending for r in by_ending if r.ending >= 0][:ENDING_CLASSES]
+    single, last = 1 + len(words), 1 + len(words) + len(endings)
+    ending_class = {e: single + i for i, e in enumerate(endings)}
+    own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ending_class.items() for x in pair]), F.col("ending")), F.lit(last)) if endings else F.lit(last)
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy(F.desc("n"), "token"))
+    members = frequent.filter(~F.col("token").isin(words)) if words else frequent
+    members = members.withColumn("_class", own).withColumn("_rank", rank).filter(F.col("_rank") < slots).orderBy("_class", "_rank").collect()  # slots for each class at most
+    classes = Classes(np.array(words, np.int64).view(np.uint64), np.array(endings, np.int64), np.array([r.token for r in members], np.int64).view(np.uint64), np.array([r["_class"] for r in members], np.int64), slots)
+    class_n, class_v = np.zeros(classes.count), np.zeros(classes.count)
+    class_n[1:single] = [top[w] for w in words]
+    for r in by_ending:
+        k = ending_class.get(r.ending, last) if r.ending >= 0 else 0
+        class_n[k] += r.n
+        class_v[k] += r.v if k else 0
+    member_n = np.full((classes.shared, slots - 1), -1.0)
+    for r in members:
+        member_n[r["_class"] - single, r["_rank"] - 1] = r.n
+    own_n, own_v = np.maximum(member_n, 0).sum(axis=1), (member_n >= 0).sum(axis=1)
+    return Tree(classes, class_n, member_n, class_n[single:] - own_n, class_v[single:] - own_v)
+
+
+def _train(learned: DataFrame, tree: Tree, start_bytes: int) -> Model:
     """A start in one task on a bounded sample, then all texts and an average."""
-    model = Model.start(share)
+    model = Model.start(tree.share, tree.member_share)
     size = learned.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     level = F.shiftrightunsigned("_order", 11) / float(1 << 53)
-    sample = learned.filter(level < min(1.0, start_bytes / max(size, 1))).repartition(1).sortWithinPartitions("_order").select("_text")
-    model = _average(sample, model, classes, share, 0.1, 3, start_bytes * 2) or model
-    return _average(learned.select("_text"), model, classes, share, 0.02, 1, 1 << 62) or model
+    sample = learned.filter(level < min(1.0, start_bytes / max(size, 1))).repartition(1).sortWithinPartitions("_order", "_text").select("_text", F.lit(0).cast("long").alias("_group"))
+    model = _average(sample, model, tree, 0.1, 3, start_bytes * 2) or model
+    groups = max(1, -(-size // GROUP_BYTES))
+    dealt = learned.withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)))
+    tasks = max(1, min(groups, int(learned.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartition(tasks, "_group").sortWithinPartitions("_group", "_order", "_text").select("_text", "_group")
+    return _average(dealt, model, tree, 0.02, 1, 1 << 62) or model
 
 
-def _average(texts: DataFrame, model: Model, classes: Classes, share: np.ndarray, rate: float, epochs: int, limit: int) -> Model | None:
-    shared = texts.sparkSession.sparkContext.broadcast((model, classes, share))
+def _average(texts: DataFrame, model: Model, tree: Tree, rate: float, epochs: int, limit: int) -> Model | None:
+    """The mean, by tokens, of the models that each group of texts makes of
+    ``model``; texts has ``_text, _group``, groups one after the other."""
+    shared = texts.sparkSession.sparkContext.broadcast((model, tree))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        model, tree = shared.value
+        classes, trainer, group = tree.classes, None, None
+        total, tokens, used, kept = np.zeros(len(model.vector())), 0, 0, []
+
+        def finish() -> None:
+            nonlocal total, tokens
+            trainer.finish()
+            for e in range(1, epochs):
+                trainer.rate = rate / (1 + e)
+                for h, k in kept:
+                    trainer.add(h, k)
+                trainer.finish()
+            seen = trainer.tokens // epochs
+            total += trainer.m.vector().astype(np.float64) * seen
+            tokens += seen
 
-        model, classes, share = shared.value
-        trainer = Trainer(model, share, rate, TaskContext.get().partitionId())
-        tokens, used, kept = 0, 0, []
         for b in pieces(batches, "_text"):
-            if used > limit:
-                continue
-            used += b.column(0).nbytes
-            t = Tokens(b.column(0))
-            k = classes.of(t)
-            tokens += len(k)
-            h = contexts(t, k, CONTEXT)
-            trainer.run(h, k)
-            if epochs > 1:
-                kept.append((h, k))
-        for e in range(1, epochs):
-            trainer.rate = rate / (1 + e)
-            for h, k in kept:
-                trainer.run(h, k)
+            which = b.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(which, prepend=-1)), len(which))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if trainer is None or which[i] != group:
+                    if trainer is not None:
+                        finish()
+                    group, used, kept = which[i], 0, []
+                    trainer = Trainer(model, classes, tree.share, tree.member_share, rate, int(group))
+                if used > limit:
+                    continue
+                t = Tokens(b.column(0).slice(i, j - i))
+                used += int(t.number.sum())
+                k = classes.of(t)
+                h = contexts(t, k, CONTEXT)
+                trainer.add(h, k)
+                if epochs > 1:
+                    kept.append((h, k))
+        if trainer is not None:
+            finish()
         if tokens:
-            v = trainer.m.vector().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v * tokens), pa.array(np.full(len(v), tokens))], ["place", "value", "tokens"])
-
-    got = texts.transform(map_arrow, run, "place long, value double, tokens long").groupBy("place").agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow()
-    if not got.num_rows:
+            starts = range(0, len(total), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array([total[a : a + CHUNK].tobytes() for a in starts], pa.binary()), pa.array([tokens] * len(starts), pa.int64())], ["at", "sums", "tokens"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for at, raw, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                old = sums.setdefault(at, [0.0, 0])
+                old[0], old[1] = old[0] + np.frombuffer(raw), old[1] + tokens
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["at", "sums", "tokens"])
+
+    schema = "at long, sums binary, tokens long"
+    parts = texts.transform(map_arrow, run, schema).repartition("at").transform(map_arrow, add, schema).collect()  # the parameters, once
+    if not parts:
         return None
-    vector = np.empty(got.num_rows)
-    vector[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    vector = np.concatenate([np.frombuffer(r.sums) / r.tokens for r in sorted(parts, key=lambda r: r["at"])])
     return model.of(vector)

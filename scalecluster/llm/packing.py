@@ -10,8 +10,8 @@ most some patterns' worth) is packed best fit decreasing into patterns of its
 own.  Documents are then ranked within their class, and a rank determines the
 pattern, the repetition and the slot in it; offsets are sums within a sequence.
 
-Ranks come from counts of (class, bucket) groups of bounded size, so a length
-that holds a third of the corpus isn't gathered in one task.
+Ranks come from counts of (class, bucket) groups of bounded size, added up in
+blocks, so a length that holds a third of the corpus isn't gathered in one task.
 
 Defined cases: a null or empty text is one piece with the end id only; rows
 with equal ids are separate documents, told apart by nothing but their pieces.
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import totals_before
+from ..scratch import materialise
 from ..session import map_arrow
 from .bpe import ENCODE_BYTES, default_vocabulary, encoder
-from .storage import materialise
 from .textkit import pieces, spans
 
 CAPACITY = 1024
@@ -263,9 +264,9 @@ def ranked(rows: DataFrame, histogram: dict[int, int], group: int = RANK_GROUP)
     buckets = F.array(*[F.lit(max(1, -(-histogram.get(k, 0) // group))) for k in range(most + 1)])
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_salt"), F.get(buckets, F.col("_class").cast("int"))))
     sizes = rows.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_class", "_bucket", (F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    before = totals_before(sizes, ["_class"], "_bucket", "_n", "_sooner").drop("_n")
     own = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "_salt"))
-    return rows.withColumn("_own", own).join(before, ["_class", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    return rows.withColumn("_own", own).join(before, ["_class", "_bucket"]).withColumn("_rank", F.col("_sooner") + F.col("_own") - 1)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:

@@ -1,18 +1,27 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of blocks.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed blocks.
 
 Every document is a reference block for the documents with larger ids.  The
-index maps a window (``window`` successive words) to the block that owns it:
-the least id in which it starts.  A document is parsed greedily: a factor
-begins at a word whose window a smaller id owns and is prolonged as long as the
-next window has the same owner; windows that straddle the boundary of two
-factors are looked up like any other.  Words inside factors are duplicates.
-
-To index every window would shuffle the corpus several times over.  So windows
-are first represented by their minimiser, the least hash among their
+index holds each window (``window`` successive words) once, at the first place
+of the least id in which it starts.  A document is parsed greedily: a factor
+begins at a word whose window stands in the block of a smaller id and is
+prolonged word by word as long as the next window stands at the next place of
+the same block, so a factor is a copy of ``length`` successive words of its block.
+At a factor's end the windows that straddle the boundary are looked up, too, and
+begin factors of their own.  Words inside factors are duplicates.
+
+Texts are shuffled once, into buckets of their ids, and are then read where they
+are.  To index every window would shuffle the corpus several times over, so
+windows are first represented by their minimiser, the least hash among their
 ``anchor``-word shingles: equal windows have equal minimisers, so only windows
-whose minimiser occurs in two documents can be shared, and only those are
-indexed.  No group is collected: owners are grouped minima, partially
-aggregated, and what returns to a document is bounded by its own length.
+whose minimiser occurs in two rows can be shared, and only those are indexed.
+Both index phases work alike: a task combines what its own documents share and
+passes on one row for each anchor or window that it holds, so the commonest
+passage of the corpus makes one row a task; these rows meet by hash, and what is
+found returns to the documents.  What returns to a document is bounded by its
+own length.
+
+Windows are equal if 96 bits of two hashes of their words are: among 10^13
+distinct windows one wrong pair is expected with probability 0.001.
 
 Defined cases: null, empty and short texts have no window and lose nothing; a
 null id owns nothing and loses nothing; rows with equal ids are never each
@@ -26,15 +35,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import bucketed, discard, materialise
 from ..session import map_arrow
-from .storage import discard, materialise, settle
-from .textkit import NOT_SPACE, Words, joined_words, pieces, shingle_hashes
+from .textkit import NOT_SPACE, STEP, Words, joined_words, pieces, shingle_hashes
 
 WINDOW = 13
 ANCHOR = 5
+#: Rows that a task combines at a time, at most about.
+COMBINED = 1 << 21
+#: What a row of an index phase is: to be looked up, known to be shared by more
+#: rows of its task, or an answer that the task could give itself.
+ASKS, MARKS, ANSWERS = 0, 1, 2
 
 
 def _rolling_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,27 +74,104 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every ``window`` successive words: 64 bits and 32 bits."""
+    return shingle_hashes(hashes, window), (shingle_hashes(hashes, window, STEP[::-1]) >> np.uint64(32)).astype(np.uint32)
+
+
+class Gathered:
+    """Rows of successive batches: arrays of numbers, and the ids they belong to."""
+
+    def __init__(self, kind: pa.DataType):
+        self.kind, self.ids, self.parts, self.documents, self.size = kind, [], [], 0, 0
+
+    def add(self, ids: pa.Array, row: np.ndarray, *columns: np.ndarray) -> bool:
+        """Rows ``columns`` of the documents ``row`` of ``ids``; whether it is time to combine."""
+        self.ids.append(ids)
+        self.parts.append((row + self.documents, *columns))
+        self.documents += len(ids)
+        self.size += len(row)
+        return self.size >= COMBINED
+
+    def take(self) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+        """The ids in ascending order, each row's place among them, and the columns."""
+        ids = pa.concat_arrays(self.ids) if self.ids else pa.array([], self.kind)
+        known = ids.unique()
+        known = known.take(pa.compute.sort_indices(known))
+        place = pa.compute.index_in(ids, known).to_numpy(zero_copy_only=False)
+        row, *columns = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.empty(0, np.int64),)
+        self.__init__(self.kind)
+        return known, place[row].astype(np.int64) if len(row) else row, columns
+
+
+def combined_anchors(gathered: Gathered) -> pa.RecordBatch:
+    """``(anchor, id, role)``: a row to look up for each anchor of one document;
+    of the others, a mark, and an answer for each document that has them."""
+    ids, place, columns = gathered.take()
+    anchor = columns[0] if columns else np.empty(0, np.uint64)
+    order = np.lexsort((place, anchor))
+    anchor, place = anchor[order], place[order]
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    once = new | np.append(False, place[1:] != place[:-1])[: len(new)]
+    anchor, place, new = anchor[once], place[once], new[once]
+    size = np.diff(np.append(np.flatnonzero(new), len(new)))
+    many = np.repeat(size > 1, size)
+    role = np.where(many, ANSWERS, ASKS).astype(np.int8)
+    marks = np.flatnonzero(new & many)
+    at = np.append(np.arange(len(anchor)), marks)
+    return pa.RecordBatch.from_arrays([_signed(anchor[at]), ids.take(pa.array(place[at])), pa.array(np.append(role, np.full(len(marks), MARKS, np.int8)))], ["anchor", "id", "role"])
+
+
 def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(anchor, doc_id)`` of every minimiser; docs has ``_id, _text``."""
+    """``(anchor, id, role)`` of every minimiser; docs has ``_id, _text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = None
         for b in pieces(batches, "_text"):
+            gathered = gathered or Gathered(b.column(0).type)
             words = Words(b.column(1), NOT_SPACE, lower=False)
             at, least = minimisers(words, words.hashes(), window, anchor)
             rows = words.row_of()[at]
             new = np.ones(len(at), dtype=bool)
             new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(least[new]), b.column(0).take(pa.array(rows[new]))], ["anchor", "doc_id"])
-
-    return docs.transform(map_arrow, run, f"anchor long, doc_id {docs.schema['_id'].dataType.simpleString()}")
+            if gathered.add(b.column(0), rows[new], least[new]):
+                yield combined_anchors(gathered)
+        if gathered:
+            yield combined_anchors(gathered)
+
+    return docs.transform(map_arrow, run, f"anchor long, id {docs.schema['_id'].dataType.simpleString()}, role byte")
+
+
+def combined_windows(gathered: Gathered) -> pa.RecordBatch:
+    """``(window, check, id, place, owner, owner_place, role)``: a row to look up
+    for the least document of each window, at its first place there, and
+    answers for the other documents."""
+    ids, doc, columns = gathered.take()
+    hashed, check, place = columns if columns else (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32))
+    order = np.lexsort((place, doc, check, hashed))
+    hashed, check, doc, place = hashed[order], check[order], doc[order], place[order]
+    group, document = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
+    group[1:] = (hashed[1:] != hashed[:-1]) | (check[1:] != check[:-1])
+    document[1:] = group[1:] | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(group)[np.cumsum(group) - 1] if len(group) else np.empty(0, np.int64)
+    keep = np.flatnonzero(document)
+    first, asks = first[keep], group[keep]
+    owner = ids.take(pa.array(doc[first], mask=asks))
+    owner_place = pa.array(place[first], pa.int32(), mask=asks)
+    role = np.where(asks, ASKS, ANSWERS).astype(np.int8)
+    columns = [_signed(hashed[keep]), pa.array(check[keep].view(np.int32)), ids.take(pa.array(doc[keep])), pa.array(place[keep]), owner, owner_place, pa.array(role)]
+    return pa.RecordBatch.from_arrays(columns, ["window", "check", "id", "place", "owner", "owner_place", "role"])
 
 
 def shared_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(window, doc_id)`` of the windows whose minimiser is among the row's
-    ``_anchors``; marked has ``_id, _text, _anchors``."""
+    """The windows whose minimiser is among the row's ``_anchors``; marked has
+    ``_id, _text, _anchors``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = None
         for b in pieces(batches, "_text"):
+            gathered = gathered or Gathered(b.column(0).type)
             words = Words(b.column(1), NOT_SPACE, lower=False)
             hashes = words.hashes()
             at, least = minimisers(words, hashes, window, anchor)
@@ -87,13 +179,16 @@ def shared_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
             known = b.column(2)
             values = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             owner = np.repeat(np.arange(b.num_rows), known.value_lengths().to_numpy(zero_copy_only=False))
-            hit = contains_pairs(owner, values, rows, least)
-            found = shingle_hashes(hashes, window)[at[hit]]
-            rows = rows[hit]
-            _, once = np.unique(np.stack([rows.astype(np.uint64), found]), axis=1, return_index=True) if len(rows) else (0, np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(found[once]), b.column(0).take(pa.array(rows[once]))], ["window", "doc_id"])
+            at = at[contains_pairs(owner, values, rows, least)]
+            hashed, check = window_hashes(hashes, window)
+            row = words.row_of()[at]
+            if gathered.add(b.column(0), row, hashed[at], check[at], (at - words.first[row]).astype(np.int32)):
+                yield combined_windows(gathered)
+        if gathered:
+            yield combined_windows(gathered)
 
-    return marked.transform(map_arrow, run, f"window long, doc_id {marked.schema['_id'].dataType.simpleString()}")
+    kind = marked.schema["_id"].dataType.simpleString()
+    return marked.transform(map_arrow, run, f"window long, check int, id {kind}, place int, owner {kind}, owner_place int, role byte")
 
 
 def contains_pairs(row_a: np.ndarray, value_a: np.ndarray, row_b: np.ndarray, value_b: np.ndarray) -> np.ndarray:
@@ -120,73 +215,82 @@ def locate_pairs(row_a: np.ndarray, value_a: np.ndarray, row_b: np.ndarray, valu
     return out
 
 
-def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(_doc, _owned array<struct<window, owner>>)`` of the documents that
-    have windows owned by a smaller id; docs has ``_id, _text``."""
-    suspects = _suspects(docs, window, anchor)
-    settle(docs.sparkSession)
-    marked = docs.join(suspects, docs["_id"] == suspects["doc_id"]).select("_id", "_text", "_anchors")
-    rows = materialise(shared_windows(marked, window, anchor), "windows")
-    discard(suspects)
-    del marked, suspects
-    settle(docs.sparkSession)
-    owned = _owned(rows)
-    discard(rows)
-    settle(docs.sparkSession)
-    return owned
+def texts_by_id(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """``(_id, _text[, _row])`` in buckets of the ids, and apart those without an id."""
+    columns = [F.col(id_col).alias("_id"), *([F.struct("*").alias("_row")] if whole else [F.col(text_col).alias("_text")])]
+    text = [F.col("_row").getField(text_col).alias("_text"), "_row"] if whole else ["_text"]
+    some = bucketed(docs.filter(F.col(id_col).isNotNull()).select(*columns), "texts", "_id")
+    return some, docs.filter(F.col(id_col).isNull()).select(*columns).select("_id", *text)
 
 
-def _suspects(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``(doc_id, _anchors)``: each document's minimisers that another one has, too."""
-    rows = materialise(anchors(docs.filter("_id is not null"), window, anchor), "anchors")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("anchor")
-    suspects = materialise(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_anchors")), "suspects")
+def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``(_doc, _owned array<struct<window, owner, place>>)`` of the documents
+    that have windows of a smaller id; docs has ``_id, _text`` in buckets of ids."""
+    rows = materialise(anchors(docs, window, anchor), "anchors")
+    # one row a task for each anchor, and one more for those that it has seen twice
+    seen = F.sum(F.when(F.col("role") == MARKS, 2).otherwise(1)).over(Window.partitionBy("anchor"))
+    asked = rows.filter(F.col("role") != ANSWERS).withColumn("_n", seen).filter((F.col("_n") > 1) & (F.col("role") == ASKS))
+    shared = asked.select("id", "anchor").unionByName(rows.filter(F.col("role") == ANSWERS).select("id", "anchor"))
+    suspects = shared.groupBy(F.col("id").alias("_doc")).agg(F.collect_set("anchor").alias("_anchors"))
+    marked = docs.join(suspects, docs["_id"] == suspects["_doc"]).select("_id", "_text", "_anchors")
+    found = materialise(shared_windows(marked, window, anchor), "windows")
     discard(rows)
-    return suspects
-
-
-def _owned(rows: DataFrame) -> DataFrame:
-    first = rows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_b")).filter("owner < _b").select("window", "owner")
-    owned = rows.join(first, "window").filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("window", "owner")).alias("_owned"))
-    return materialise(owned.withColumnRenamed("doc_id", "_doc"), "owned")
+    # one row a task for each window, of its least id there
+    first = F.min(F.struct("id", "place")).over(Window.partitionBy("window", "check"))
+    asked = found.filter(F.col("role") == ASKS).withColumn("_first", first).filter(F.col("_first.id") < F.col("id"))
+    entry = lambda owner, place: F.struct("window", F.col(owner).alias("owner"), F.col(place).alias("place")).alias("entry")
+    entries = asked.select("id", entry("_first.id", "_first.place")).unionByName(found.filter(F.col("role") == ANSWERS).select("id", entry("owner", "owner_place")))
+    owned = materialise(entries.groupBy(F.col("id").alias("_doc")).agg(F.collect_list("entry").alias("_owned")), "owned")
+    discard(found)
+    return owned
 
 
 class Parse:
-    """The factors of a batch, from its texts and the owners of its windows."""
+    """The factors of a batch, from its texts and what its windows' blocks are."""
 
     def __init__(self, texts: pa.Array, owned: pa.Array, window: int):
         self.words = words = Words(texts, NOT_SPACE, lower=False)
         entries = owned.flatten()
         sizes = np.asarray(owned.value_lengths().fill_null(0))
         covered = np.zeros(len(words) + 1, dtype=np.int64)
-        self.row = self.start = self.length = self.entry = np.empty(0, np.int64)
+        self.row = self.start = self.length = self.place = np.empty(0, np.int64)
+        self.owner = entries.field(1).slice(0, 0)
         if len(entries):
             at = words.fits(window)
             rows = words.row_of()[at]
             hashes = shingle_hashes(words.hashes(), window)[at]
-            place = locate_pairs(np.repeat(np.arange(len(sizes)), sizes), entries.field(0).to_numpy(zero_copy_only=False).view(np.uint64), rows, hashes)
-            hit = np.flatnonzero(place >= 0)
-            at, rows, self.entry = at[hit], rows[hit], place[hit]
-            self.owner = entries.field(1).take(pa.array(self.entry)).to_numpy(zero_copy_only=False)
+            found = locate_pairs(np.repeat(np.arange(len(sizes)), sizes), entries.field(0).to_numpy(zero_copy_only=False).view(np.uint64), rows, hashes)
+            hit = np.flatnonzero(found >= 0)
+            at, rows, found = at[hit], rows[hit], found[hit]
+            owner = entries.field(1).take(pa.array(found))
+            block = owner.dictionary_encode().indices.to_numpy()
+            place = entries.field(2).to_numpy(zero_copy_only=False)[found].astype(np.int64)
             new = np.ones(len(at), dtype=bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1]) | (self.owner[1:] != self.owner[:-1])
+            new[1:] = (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1]) | (block[1:] != block[:-1]) | (place[1:] != place[:-1] + 1)
             first = np.flatnonzero(new)
-            self.row, self.start, self.owner = rows[first], at[first], self.owner[first]
+            self.row, self.start, self.place, self.owner = rows[first], at[first], place[first], owner.take(pa.array(first))
             self.length = np.diff(np.append(first, len(at))) + window - 1
             np.add.at(covered, self.start, 1)
             np.add.at(covered, self.start + self.length, -1)
-        else:
-            self.owner = np.empty(0, np.int64)
         self.removed = np.cumsum(covered[:-1]) > 0
 
     def counts(self) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(self.removed)])[self.words.first])
 
 
+def _parsed(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, run, schema, whole: bool = False) -> DataFrame:
+    """``run`` over batches of ``(_id, _text[, _row], _owned)`` of all rows."""
+    some, rest = texts_by_id(docs, id_col, text_col, whole)
+    texts = some.select("_id", F.col("_row").getField(text_col).alias("_text") if whole else "_text")
+    owned = owners(texts, window, anchor)
+    every = some.select(*rest.columns) if not whole else some.select("_id", F.col("_row").getField(text_col).alias("_text"), "_row")
+    joined = every.join(owned, every["_id"] == owned["_doc"], "left").drop("_doc")
+    none = F.lit(None).cast(owned.schema["_owned"].dataType)
+    return joined.transform(map_arrow, run, schema).unionByName(rest.withColumn("_owned", none).transform(map_arrow, run, schema))
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)``, one row for each input row."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    owned = owners(docs, window, anchor)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
@@ -197,45 +301,40 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = docs.join(owned, docs["_id"] == owned["_doc"], "left").select("_id", "_text", "_owned")
-    return joined.transform(map_arrow, run, f"doc_id {docs.schema['_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _parsed(docs, id_col, text_col, window, anchor, run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc_id, start, length, owner)``: the factors, in words of the document."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    owned = owners(docs, window, anchor)
-    kind = docs.schema["_id"].dataType.simpleString()
+    """``(doc_id, start, length, owner, owner_start)``: the factors, in words;
+    both documents have the same ``length`` words there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
             p = Parse(b.column(1), b.column(2), window)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(p.row)), pa.array(p.start - p.words.first[p.row]), pa.array(p.length), pa.array(p.owner).cast(b.schema.field(0).type)],
-                ["doc_id", "start", "length", "owner"],
+                [b.column(0).take(pa.array(p.row)), pa.array(p.start - p.words.first[p.row]), pa.array(p.length), p.owner, pa.array(p.place)],
+                ["doc_id", "start", "length", "owner", "owner_start"],
             )
 
-    joined = docs.join(owned, docs["_id"] == owned["_doc"]).select("_id", "_text", "_owned")
-    return joined.transform(map_arrow, run, f"doc_id {kind}, start long, length long, owner {kind}")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _parsed(docs, id_col, text_col, window, anchor, run, f"doc_id {kind}, start long, length long, owner {kind}, owner_start long")
 
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with the duplicate words taken out of its texts.  A text that
-    loses nothing stays as it is; else its kept words are joined by one space."""
-    owned = owners(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), window, anchor)
-    schema = docs.schema
-    text_at = schema.names.index(text_col)
+    loses nothing stays as it is; else its kept words are joined by one space.
+    Columns may have any names: rows travel as one value."""
+    names, text_at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text_col):
-            texts, marks = b.column(text_at), b.column(b.num_columns - 1)
-            columns = list(b.columns[:-1])
-            parse = Parse(texts, marks, window)
+        for b in pieces(batches, "_text"):
+            texts, columns = b.column(1), b.column(2).flatten()
+            parse = Parse(texts, b.column(3), window)
             lost = parse.counts() > 0
             if lost.any():
                 kept = joined_words(parse.words, ~parse.removed)
                 columns[text_at] = pa.array([k.decode("utf-8", "replace") if gone else t.as_py() for k, gone, t in zip(kept, lost.tolist(), texts)], texts.type)
-            yield pa.RecordBatch.from_arrays(columns, list(b.schema.names[:-1]))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(owned, docs[id_col] == owned["_doc"], "left").drop("_doc")
-    return joined.transform(map_arrow, run, schema)
+    return _parsed(docs, id_col, text_col, window, anchor, run, docs.schema, whole=True)

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from ..scratch import free_name, materialise
 
 SHARD_BYTES = 1 << 20
 #: Bits looked ahead in a pass, beyond those that an even spread would need.
@@ -31,7 +31,7 @@ KEY_BITS = 60
 ROW_BITS = 60
 
 
-def _bits(text) -> F.Column:
+def _bits(text) -> Column:
     """The first 60 bits of the text's md5, as a string of 0 and 1."""
     return F.lpad(F.bin(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")), 60, "0")
 
@@ -39,13 +39,15 @@ def _bits(text) -> F.Column:
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, shard_id, local_depth, oversize)``, one row for each
     input row; shard_id is the bit prefix (empty: the only shard)."""
+    return _assigned(docs, id_col, text_col, limit, [F.col(id_col).alias("doc_id")])
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str, limit: int, carried: list[Column]) -> DataFrame:
+    """The ``carried`` columns of all rows, and what ``assign`` adds."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     place = F.concat_ws("/", key, F.xxhash64(text_col).cast("string"), F.monotonically_increasing_id().cast("string"))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        F.concat(_bits(key), _bits(place)).alias("bits"),
-    )
+    rows = docs.select(*carried, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.concat(_bits(key), _bits(place)).alias("bits"))
+    names = rows.columns[:-1]
     rows = materialise(rows, "shard-rows")
     left, depth, parts = rows, 0, []
     while depth < KEY_BITS + ROW_BITS:
@@ -61,24 +63,26 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         directory = materialise(cells.join(found, "cell", "left").select("cell", "leaf"), "shard-cells")
         keyed = left.withColumn("cell", cell)
         done = keyed.join(directory.filter("leaf is not null"), "cell")
-        parts.append(done.select("doc_id", "n_bytes", F.expr("substring(bits, 1, leaf.depth)").alias("shard_id"), F.col("leaf.depth").alias("local_depth"), F.col("leaf.oversize").alias("oversize")))
+        parts.append(done.select(*names, F.expr("substring(bits, 1, leaf.depth)").alias("shard_id"), F.col("leaf.depth").alias("local_depth"), F.col("leaf.oversize").alias("oversize")))
         hot = directory.filter("leaf is null")
         if not hot.take(1):
             break
         left = materialise(keyed.join(hot, "cell", "left_semi").drop("cell"), "shard-hot")
         depth = deeper
     else:
-        parts.append(left.select("doc_id", "n_bytes", F.col("bits").alias("shard_id"), F.lit(depth).alias("local_depth"), F.lit(True).alias("oversize")))
+        parts.append(left.select(*names, F.col("bits").alias("shard_id"), F.lit(depth).alias("local_depth"), F.lit(True).alias("oversize")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Writes ``docs`` as Parquet, one folder ``_shard=<prefix>`` for each shard.
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, by: str = "shard") -> None:
+    """Writes ``docs`` as Parquet, one folder ``<by>=p<prefix>`` for each shard.
 
-    Rows with equal ids follow one of them, so ids should be unique here."""
-    shards = assign(docs, id_col, text_col, limit).select(F.col("doc_id").alias("_key"), F.concat(F.lit("p"), "shard_id").alias("_shard")).groupBy("_key").agg(F.min("_shard").alias("_shard"))
-    joined = docs.join(shards, docs[id_col].eqNullSafe(shards["_key"])).drop("_key")
-    joined.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    Every row goes to the shard that ``assign`` found for itself, equal ids
+    included, so a shard keeps to the limit.  ``by`` must not name a column."""
+    if free_name(docs, by) != by:
+        raise ValueError(f"the table has a column {by!r}; name the folders otherwise")
+    shards = _assigned(docs, id_col, text_col, limit, [F.struct("*").alias("_row")])
+    shards.select("_row.*", F.concat(F.lit("p"), "shard_id").alias(by)).repartition(by).write.partitionBy(by).parquet(path)

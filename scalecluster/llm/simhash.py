@@ -10,11 +10,12 @@ fingerprint of a run to the run's least one, after verifying the distance.
 Whatever shares a variant lies within ``radius`` by the triangle inequality, so
 these stars lose no link.  Equal fingerprints are one row from the start, hence
 copies cost nothing here, and one neighbourhood can't be larger than its ball.
+Fingerprints and components with very many rows are joined where the rows are.
 
 Defined cases: a null, empty or blank text has fingerprint 0 and is linked like
-any other; fewer words than a shingle give one shingle of them all; rows with
-equal ids share a row of the result for each input row; a null id stays null
-and never names a component unless all of the component's ids are null.
+any other; fewer words than a shingle give one shingle of them all; every input
+row has a row of the result, equal ids included; a null id stays null and never
+names a component unless all of the component's ids are null.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components, local_roots
+from ..operators.skew import join_counted
+from ..scratch import discard, materialise
 from ..session import map_arrow, ship_package
-from .storage import materialise
 from .textkit import NOT_SPACE, Words, pieces, spans
 
 RADIUS = 4
@@ -39,7 +41,9 @@ SHINGLE = 4
 SEED = 42
 #: Variants that a task should hold at a time.
 TASK_VARIANTS = 1 << 21
-#: Ids of dropped documents that are broadcast (8 MB); more are joined.
+#: Fingerprints that a bucket may have before it is dealt out further.
+BUCKET_PRINTS = 1 << 20
+#: Numbers of rows that are broadcast (8 MB); more are joined.
 BROADCAST_IDS = 1_000_000
 U64 = np.uint64
 
@@ -99,7 +103,7 @@ def prefix_bits(n: int, radius: int) -> int:
     """Bits of the variants' prefix, so that a task holds about TASK_VARIANTS."""
     half = radius // 2
     ball = sum(comb(64, i) for i in range(half + 1))
-    return int(np.clip(np.ceil(np.log2(max(1, n * ball / TASK_VARIANTS))), 4, 24))
+    return int(np.clip(np.ceil(np.log2(max(1, n * ball / TASK_VARIANTS))), 4, 40))
 
 
 def ball_masks(bits: int, reach: int) -> np.ndarray:
@@ -173,67 +177,110 @@ def ball_masks_cached(bits: int, reach: int) -> np.ndarray:
     return _masks[bits, reach]
 
 
+def _deal(rows: DataFrame, bits: int, more: int, half: int) -> DataFrame:
+    """``(fingerprint, bucket)``: from buckets of ``bits`` bits (none: 0) to
+    those of ``more`` bits beyond, as many copies as there are variants."""
+    masks = F.array(*[F.lit(int(m)).cast("long") for m in ball_masks(more, half)])
+    used = F.bit_count(F.shiftrightunsigned("fingerprint", 64 - bits).bitwiseXOR(F.col("bucket"))) if bits else F.lit(0)
+    own = F.shiftrightunsigned("fingerprint", 64 - bits - more).bitwiseAND(F.lit((1 << more) - 1).cast("long"))
+    dealt = rows.select("fingerprint", F.col("bucket") if bits else F.lit(0).cast("long").alias("bucket"), (F.lit(half) - used).alias("_left"), own.alias("_own"), F.explode(masks).alias("_mask"))
+    dealt = dealt.filter(F.bit_count("_mask") <= F.col("_left"))
+    return dealt.select("fingerprint", F.shiftleft("bucket", more).bitwiseOR(F.col("_own").bitwiseXOR(F.col("_mask"))).alias("bucket"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints (column ``fingerprint``)
-    that join exactly those within ``radius`` bits into components."""
+    that join exactly those within ``radius`` bits into components.
+
+    A bucket with more than BUCKET_PRINTS fingerprints is dealt out by 8 bits
+    more, until none is left, so a task holds a bounded number."""
     if radius % 2:
         raise ValueError("the radius is halved, so it must be even")
-    bits = prefix_bits(distinct.count() if n is None else n, radius)
-    masks = [int(m) for m in ball_masks(bits, radius // 2)]
-    prefix = F.shiftrightunsigned("fingerprint", 64 - bits)
-    dealt = distinct.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_mask")).select("fingerprint", prefix.bitwiseXOR(F.col("_mask")).alias("bucket"))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        fps = table.column("fingerprint").to_numpy().view(np.uint64)
-        u, v = bucket_links(fps, key[0].as_py(), bits, radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
+    n = distinct.count() if n is None else n
+    half, bits = radius // 2, prefix_bits(n, radius)
     ship_package(distinct.sparkSession)
-    return dealt.groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
-
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> DataFrame:
-    """``(doc_id, fingerprint, root, component_id)``; root is a component's least fingerprint."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "distinct")
-    edges = materialise(links(distinct.select("fingerprint"), radius), "links")
-    found = connected_components(edges)
-    roots = distinct.join(found, distinct.fingerprint == found.node, "left").select("fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialise(roots.join(least, "root").select("fingerprint", "root", "component_id"), "named")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+    def linked(rows: DataFrame, bits: int) -> DataFrame:
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            fps = table.column("fingerprint").to_numpy().view(np.uint64)
+            u, v = bucket_links(fps, key[0].as_py(), bits, radius)
+            return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+        return rows.groupBy("bucket").applyInArrow(run, "u long, v long")
+
+    left, parts = _deal(distinct.select("fingerprint"), 0, bits, half), []
+    while n > BUCKET_PRINTS and bits <= 48:
+        hot = materialise(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_PRINTS).select("bucket"), "hot-buckets")
+        if not hot.take(1):
+            break
+        parts.append(linked(left.join(hot, "bucket", "left_anti"), bits))
+        left = materialise(_deal(left.join(hot, "bucket"), bits, 8, half), "dealt")
+        bits += 8
+    out = linked(left, bits)
+    for part in parts:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def _named(prints: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """``(fingerprint, root, component_id, _n)`` of the distinct fingerprints of
+    ``(doc_id, fingerprint)``, where root is the component's least fingerprint
+    and ``_n`` the number of rows, and the number of all rows."""
+    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("_n")), "distinct")
+    size = distinct.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    edges = materialise(links(distinct.select("fingerprint"), radius, size.prints), "links")
+    found = connected_components(edges).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
+    roots = materialise(distinct.join(found, "fingerprint", "left"), "roots")
+    linked = roots.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
+    linked = join_counted(linked.select("fingerprint", "root", "_n"), least, ["root"], size.prints, "_prints")
+    alone = roots.filter("root is null").select(F.col("fingerprint").alias("root"), "fingerprint", "_n", F.col("least_id").alias("component_id"))
+    named = materialise(linked.unionByName(alone), "named")
+    discard(distinct, edges, roots)
+    return named, size.rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, fingerprint long, component_id)``: component_id is the least
     id whose fingerprint is reachable by links of at most ``radius`` bits."""
-    return _groups(docs, id_col, text_col, radius, shingle).drop("root")
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named, total = _named(prints, radius)
+    return join_counted(prints, named, ["fingerprint"], total).select("doc_id", "fingerprint", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` for each group, of the group's least id.
-
-    Only ids travel, and texts are read again.  The ids to drop are broadcast
-    if they are at most BROADCAST_IDS, else texts are shuffled to them.  Rows
-    whose id occurs more than once are told apart by their fingerprints."""
-    groups = materialise(_groups(docs.select(id_col, text_col), id_col, text_col, radius, shingle), "groups")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("fingerprint").alias("_print"))
-    counts = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counts.filter("n > 1").select(F.col("doc_id").alias("_again"))
-    if not repeated.take(1):
-        dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-        if dropped.count() <= BROADCAST_IDS:
-            return docs.join(F.broadcast(dropped), docs[id_col] == dropped["_gone"], "left_anti")
-        kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    at, names = docs.columns.index(text_col), [*docs.columns, "_fingerprint"]
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(_place, doc_id, fingerprint, _row)``: whole rows, numbered, with their fingerprints."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text_col):
-            prints = pa.array(batch_fingerprints(b.column(at), shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, prints], names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fingerprint", T.LongType())])
-    marked = docs.transform(map_arrow, run, schema)
-    kept = marked.join(first, marked[id_col].eqNullSafe(first["_id"]) & (marked["_fingerprint"] == first["_print"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_fingerprint"]).drop("_fingerprint")
+        for b in pieces(batches, "_text"):
+            prints = pa.array(batch_fingerprints(b.column(3), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, b.column(2)], ["_place", "doc_id", "fingerprint", "_row"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_place"), F.col(id_col).alias("doc_id"), F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    fields = rows.schema.fields
+    return rows.transform(map_arrow, run, T.StructType([*fields[:2], T.StructField("fingerprint", T.LongType()), fields[2]]))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` for each group: that of the least id, null ids last,
+    and the first of its rows if there are more.
+
+    Rows are written once with their fingerprints and a number, by which one
+    rule holds for null, equal and unique ids.  Whichever are fewer, the numbers
+    to keep or to drop, are broadcast if they are at most BROADCAST_IDS; else
+    rows are joined with them.  Columns may have any names."""
+    marked = materialise(_marked(docs, id_col, text_col, shingle), "marked")
+    prints = marked.select("_place", "doc_id", "fingerprint")
+    named, total = _named(prints, radius)
+    groups = join_counted(prints, named, ["fingerprint"], total)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")).alias("_first"))
+    kept = materialise(first.select(F.col("_first._place").alias("_place")), "kept")
+    n = kept.count()
+    if n <= BROADCAST_IDS:
+        out = marked.join(F.broadcast(kept), "_place", "left_semi")
+    elif total - n <= BROADCAST_IDS:
+        out = marked.join(F.broadcast(materialise(prints.select("_place").join(kept, "_place", "left_anti"), "dropped")), "_place", "left_anti")
+    else:
+        out = marked.join(kept, "_place", "left_semi")
+    discard(named)
+    return out.select("_row.*")

@@ -174,14 +174,15 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of every k successive words, also across rows; see Words.fits."""
+def shingle_hashes(words: np.ndarray, k: int, steps: np.ndarray = STEP) -> np.ndarray:
+    """Hashes of every k successive words, also across rows; see Words.fits.
+    Other ``steps`` give other hashes."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     out = np.full(n, k, dtype=np.uint64)
     for j in range(k):
-        out += words[j : j + n] * STEP[j]
+        out += words[j : j + n] * steps[j]
     return mix(out)
 
 

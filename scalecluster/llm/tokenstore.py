@@ -10,8 +10,14 @@ comparison; a foreign key passes with probability 2^-32.
 
 Documents are range-partitioned by id, ties told apart by content and place, so
 a repeated id doesn't fill one task.  Spark's own writer stores the records
-(Parquet as the container), which commits whole tasks and works on any file
-system; a shard's size is bounded, and tasks cut a new one when it is full.
+(Parquet as the container, uncompressed, a row group for each shard and a folder
+for each task's shards), which commits whole tasks and works on any file system;
+a shard's size is bounded, and tasks cut a new one when it is full.
+
+Beside the shards stands a manifest: a row for each with its least and greatest
+document id and the ids before it.  A lookup goes by the manifest to the shards
+whose range holds the key and reads only these.  The manifest is made, read and
+joined as a table; the driver sees none of it.
 
 Defined cases: null and empty texts hold the end id only; null ids come first
 and share one key; equal ids are successive documents.
@@ -20,24 +26,29 @@ and share one key; equal ids are successive documents.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import totals_before
+from ..scratch import scratch_path
 from ..session import map_arrow
 from .bpe import ENCODE_BYTES, default_vocabulary, encoder
-from .storage import scratch_path
 from .textkit import mix, pieces
 
 #: Ids of a shard at most, unless one document has more.
 SHARD_IDS = 4 << 20
-#: Text bytes that a writing task should get.
-TASK_BYTES = 16 << 20
+#: Text bytes that a writing task should get, and those beyond FEW_TASKS tasks:
+#: it streams, and the sample that finds the ranges grows with the tasks.
+TASK_BYTES, LARGE_TASK_BYTES, FEW_TASKS = 16 << 20, 256 << 20, 4096
+#: Rows of a manifest (24 bytes each) that are broadcast; more are joined.
+BROADCAST_SHARDS = 1 << 18
 LEVELS = 40
-SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, width int, doc_ids array<{kind}>, keys array<long>, hash binary, slots binary, offsets binary, payload binary"
+SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, n_null long, low {kind}, high {kind}, width int, doc_ids array<{kind}>, keys array<long>, hash binary, slots binary, offsets binary, payload binary"
 
 
 class MinimalHash:
@@ -131,8 +142,11 @@ def _record(part: int, seq: int, doc_ids: list, keys: list, lengths: list, ids:
     at = table.lookup(distinct)
     slots[at, 0], slots[at, 1], slots[at, 2] = fingerprint(distinct), first, np.diff(np.append(first, len(keys_)))
     offsets = np.concatenate([[0], np.cumsum(lengths_)])
-    values = [part, seq, len(keys_), len(ids_), width, pa.concat_arrays(doc_ids), keys_, table.dump(), slots.tobytes(), offsets.astype("<u4").tobytes(), ids_.astype(f"<u{width}").tobytes()]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(kind), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    documents = pa.concat_arrays(doc_ids)
+    some = documents.drop_null()
+    low, high = (some[0].as_py(), some[-1].as_py()) if len(some) else (None, None)
+    values = [part, seq, len(keys_), len(ids_), documents.null_count, low, high, width, documents, keys_, table.dump(), slots.tobytes(), offsets.astype("<u4").tobytes(), ids_.astype(f"<u{width}").tobytes()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind, kind, pa.int32(), pa.list_(kind), pa.list_(pa.int64()), *[pa.binary()] * 4]
     names = [x.split()[0] for x in SHARD_SCHEMA.split(", ")]
     arrays = []
     for v, t in zip(values, types):
@@ -149,7 +163,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col)).alias("_key"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = max(1, -(-size // task_bytes))
+    n = max(1, -(-size // LARGE_TASK_BYTES), min(FEW_TASKS, -(-size // task_bytes)))
     ties = docs.withColumn("_tie", F.xxhash64("_text")).withColumn("_place", F.monotonically_increasing_id())
     # equal ids may span tasks; within a task ids ascend, so equal keys are neighbours
     dealt = ties.repartitionByRange(n, "_id", "_tie", "_place").sortWithinPartitions("_id", "_tie", "_place").select("_id", "_key", "_text")
@@ -175,18 +189,35 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield _record(part, seq, doc_ids, keys, lengths, ids, width, doc_ids[0].type)
 
-    schema = SHARD_SCHEMA.format(kind=docs.schema["_id"].dataType.simpleString())
-    dealt.transform(map_arrow, run, schema).write.option("compression", "zstd").parquet(path)
+    kind = docs.schema["_id"].dataType.simpleString()
+    shards = dealt.transform(map_arrow, run, SHARD_SCHEMA.format(kind=kind))
+    raw = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.row.count.limit": "1"}
+    shards.write.options(**raw).partitionBy("part").parquet(f"{path}/shards")
+    _manifest(_shards(docs.sparkSession, path, kind)).write.parquet(f"{path}/manifest")
+
+
+def _shards(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(SHARD_SCHEMA.format(kind=kind)).parquet(f"{path}/shards")
+
+
+def _manifest(shards: DataFrame) -> DataFrame:
+    """``(part, seq, n_docs, n_ids, n_null, low, high, start)``, start being the ids of all shards before."""
+    sizes = shards.select("part", "seq", "n_docs", "n_ids", "n_null", "low", "high")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
+    parts = totals_before(parts, [], "part", "_ids", "_start").drop("_ids")
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    return sizes.withColumn("start", own).join(parts, "part").withColumn("start", F.col("start") + F.col("_start")).drop("_start")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, each found
     in its shard through the index."""
-    shards = spark.read.parquet(path)
-    # one row for each shard of millions of ids
-    sizes = shards.select("part", "seq", "n_ids").toPandas().sort_values(["part", "seq"])
-    starts = dict(zip(zip(sizes.part.tolist(), sizes.seq.tolist()), (sizes.n_ids.cumsum() - sizes.n_ids).tolist()))
-    shared = spark.sparkContext.broadcast(starts)
+    known = manifest(spark, path)
+    kind = known.schema["low"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,19 +234,39 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 at, end = shard.offsets[document], shard.offsets[document + 1]
                 raw32 = memoryview(shard.payload.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw32[a * 4 : e * 4]) for a, e in zip(at.tolist(), end.tolist())]
-                start = shared.value[part.as_py(), seq.as_py()]
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("doc_ids"))[i].values, pa.array(at + start), pa.array(end - at), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                n = len(keys)
+                columns = [pa.repeat(part, n), pa.repeat(seq, n), b.column(b.schema.names.index("doc_ids"))[i].values, pa.array(at), pa.array(end - at), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_id", "_at", "n_tokens", "ids_crc32"])
 
-    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     columns = ["part", "seq", "width", "keys", "hash", "slots", "offsets", "payload", "doc_ids"]
-    return shards.select(*columns).transform(map_arrow, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    found = _shards(spark, path, kind).select(*columns).transform(map_arrow, run, f"part int, seq int, doc_id {kind}, _at long, n_tokens long, ids_crc32 long")
+    starts = known.select("part", "seq", "start")
+    if known.count() <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
+    return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, ids array<int>)`` for the ids of a bounded list, through the index of every shard."""
-    wanted = ids.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("key")).distinct().toPandas()
-    keys = wanted.key.to_numpy().view(np.uint64)
-    shards = spark.read.parquet(path)
+    """``(doc_id, ids array<int>)`` for the ids of a list that fits the driver.
+
+    Only the shards whose range holds one of them are read, and in these the
+    index finds them.  An id that isn't there has no row; a repeated one has a
+    row for each document."""
+    wanted = ids.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("key")).distinct().toArrow()
+    keys, names = wanted.column(1).to_numpy().view(np.uint64), wanted.column(0).to_pylist()
+    order, null = sorted(x for x in names if x is not None), None in names
+    known = manifest(spark, path)
+    kind = known.schema["low"].dataType.simpleString()
+
+    def holds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high = b.column(2).to_pylist(), b.column(3).to_pylist()
+            at = [bisect_left(order, x) if x is not None else len(order) for x in low]
+            hit = [(i < len(order) and order[i] <= y) or (null and nulls > 0) for i, y, nulls in zip(at, high, b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["part", "seq"]).filter(pa.array(hit, pa.bool_()))
+
+    hits = known.select("part", "seq", "low", "high", "n_null").transform(map_arrow, holds, "part int, seq int").collect()
+    shards = _shards(spark, path, kind).filter(F.col("part").isin(sorted({r.part for r in hits})) & F.col("seq").isin(sorted({r.seq for r in hits})))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,9 +275,8 @@ def lookup(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id
                 shard = Shard(*raw, width)
                 first, many = shard.find(keys)
                 hit = [(k, d) for k in np.flatnonzero(many) for d in range(first[k], first[k] + many[k])]
-                yield pa.RecordBatch.from_arrays([pa.array([wanted.doc_id[k] for k, _ in hit], b.schema.field("doc_ids").type.value_type), pa.array([shard.ids(d).astype(np.int32) for _, d in hit], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k, _ in hit], b.schema.field("doc_ids").type.value_type), pa.array([shard.ids(d).astype(np.int32) for _, d in hit], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     return shards.select("width", "hash", "slots", "offsets", "payload", "doc_ids").transform(map_arrow, run, f"doc_id {kind}, ids array<int>")
 
 

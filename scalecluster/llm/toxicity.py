@@ -15,7 +15,8 @@ whole texts without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the bias's
 probability; labels of null, or of ids that don't occur, are ignored; if an id
-has more labels, the largest counts; without labels every score is 0, with one
+has more labels, the largest counts, and if it has more rows, the least text is
+learned from and all are scored; without labels every score is 0, with one
 class only it is that class's smoothed share.
 """
 
@@ -153,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     bound = {0: max_negative, 1: max_positive}
     first = [known.filter(F.col("_y") == c).orderBy(F.xxhash64("_key"), "_key").limit(bound[c]) for c in sorted(size)]
     chosen = first[0] if len(first) == 1 else first[0].unionByName(first[1])
-    rate = {c: size[c] / min(size[c], bound[c]) for c in size}
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))  # at most both bounds' rows
-    sample = sample.select("_y", "_text", F.xxhash64("_id").alias("_order")).repartition(1).sortWithinPartitions("_order")
+    sample = sample.groupBy("_key", "_y").agg(F.min("_text").alias("_text"))  # an id may have several rows
+    sample = sample.select("_y", "_text", F.xxhash64("_key").alias("_order")).repartition(1).sortWithinPartitions("_order")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y, used = [], [], 0
@@ -166,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
                 used += texts[-1].nbytes
         label = np.concatenate(y) if y else np.empty(0, np.int64)
         if len(label):
-            model = fit(texts, label, np.where(label == 1, rate.get(1, 1.0), rate.get(0, 1.0)))
+            used_of = {c: max(1, int((label == c).sum())) for c in size}
+            model = fit(texts, label, np.where(label == 1, size.get(1, 0) / used_of.get(1, 1), size.get(0, 0) / used_of.get(0, 1)))
             kept = np.flatnonzero(model.wanted)
             yield pa.RecordBatch.from_arrays([pa.array([kept.tolist()], pa.list_(pa.int32())), pa.array([model.weights[kept].tolist()], pa.list_(pa.float64())), pa.array([model.bias])], ["kept", "weights", "bias"])
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -132,12 +133,55 @@ def test_scores_do_not_depend_on_what_is_hot(docs_frame):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def small_tree(members=5, shared=3):
+    words, endings = np.arange(1, 9, dtype=np.uint64) << np.uint64(50), np.arange(shared - 1)
+    names = np.arange(100, 100 + 2 * shared, dtype=np.uint64) << np.uint64(48)
+    classes = logbilinear.Classes(words, endings, names, np.repeat(9 + np.arange(shared), 2), members)
+    member_n = np.full((shared, members - 1), -1.0)
+    member_n[:, :2] = [[7, 2]] * shared
+    return logbilinear.Tree(classes, np.arange(classes.count) + 1.0, member_n, np.full(shared, 5.0), np.full(shared, 3.0))
+
+
 def test_model_is_normalised():
-    share = np.random.Generator(np.random.PCG64(1)).random(40) + 0.1
-    model = logbilinear.Model.start(share / share.sum(), 3, 5)
-    context = np.array([[1] * 40, [2] * 40, [7] * 40])
-    p = np.exp(model.log_probabilities(context, np.arange(40)))
+    tree = small_tree()
+    model = logbilinear.Model.start(tree.share, tree.member_share, 3, 5)
+    n = tree.classes.symbols
+    p = np.exp(model.log_probabilities(np.array([[1] * n, [2] * n, [7] * n]), np.arange(n), tree.classes))
     assert abs(p.sum() - 1) < 1e-5
+    absent = np.flatnonzero(tree.member_share.ravel() == 0) + tree.classes.single
+    assert len(absent) == 6 and (p[absent] < 1e-9).all()
+
+
+def test_probabilities_match_plain_python():
+    tree = small_tree()
+    model = logbilinear.Model.start(tree.share, tree.member_share, 2, 4)
+    classes, rng = tree.classes, random.Random(4)
+    context = [[rng.randrange(classes.symbols) for _ in range(50)] for _ in range(2)]
+    target = [rng.choice([s for s in range(classes.symbols) if s < classes.single or tree.member_share.ravel()[s - classes.single] > 0]) for _ in range(50)]
+    got = model.log_probabilities(np.array(context), np.array(target), classes)
+    soft = lambda z, i: z[i] - math.log(sum(math.exp(x) for x in z))
+    for j in range(50):
+        ctx = [sum(float(model.r[context[k][j]][d]) * float(model.c[k][d]) for k in range(2)) for d in range(4)]
+        dot = lambda v: sum(a * float(b) for a, b in zip(ctx, v))
+        s = target[j]
+        c = s if s < classes.single else classes.single + (s - classes.single) // classes.slots
+        want = soft([dot(q) + float(b) for q, b in zip(model.q, model.bias)], c)
+        if s >= classes.single:
+            first = (c - classes.single) * classes.slots
+            want += soft([dot(v) + float(b) for v, b in zip(model.p[first : first + classes.slots], model.member_bias[first : first + classes.slots])], s - classes.single - first)
+        assert abs(got[j] - want) < 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = table(spark, SF, "documents")
+    one, eight = (sorted((r.doc_id, r.score) for r in logbilinear.score(docs.repartition(n), start_bytes=1 << 18).collect()) for n in (1, 8))
+    assert [i for i, _ in one] == [i for i, _ in eight]
+    assert max(abs(a - b) / max(1.0, abs(a)) for (_, a), (_, b) in zip(one, eight)) < 1e-6
+
+
+def test_held_out_gain(spark):
+    r = QUERIES["op4_lm_scoring"](spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (r[0] - r[1]) / r[2] > 0.25
 
 
 def test_lm_of_nothing(no_docs, spark):
