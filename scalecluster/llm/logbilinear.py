@@ -54,6 +54,8 @@ MEMBER_SHARE, MEMBERS = 8, (16, 128)
 CONTEXT, WIDTH = 6, 16
 NOISE, MEMBER_NOISE, BATCH = 32, 4, 2048
 HOT_TOKENS = 1 << 19
+#: Tokens that are scored at a time.
+SCORED = 1 << 15
 #: Text bytes of a group of training texts, about.
 GROUP_BYTES = 16 << 20
 #: Parameters that are summed as one row.
@@ -187,37 +189,47 @@ class Model:
 
     def contexts(self, h: np.ndarray) -> np.ndarray:
         """(tokens, width) for the symbols (size, tokens) before each."""
-        out = self.r[h[0]] * self.c[0]
+        out = self.r[h[0]]
+        out *= self.c[0]
         for k in range(1, len(h)):
-            out += self.r[h[k]] * self.c[k]
+            part = self.r[h[k]]
+            part *= self.c[k]
+            out += part
         return out
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, classes: Classes) -> np.ndarray:
         """Natural logs of the target symbols, normalised over all classes and all members of a class."""
         out = np.empty(len(target))
-        q, slots = np.ascontiguousarray(self.q.T), classes.slots
-        for i in range(0, len(target), BATCH):
-            ctx = self.contexts(context[:, i : i + BATCH])
-            own, at, member = classes.split(target[i : i + BATCH])
-            part = _log_share(ctx @ q + self.bias, own)
-            group = member // slots
+        q = np.ascontiguousarray(np.concatenate([self.q, self.bias[:, None]], axis=1).T)
+        p = np.concatenate([self.p, self.member_bias[:, None]], axis=1)
+        slots = classes.slots
+        for i in range(0, len(target), SCORED):
+            ctx = self.contexts(context[:, i : i + SCORED])
+            ctx = np.concatenate([ctx, np.ones((len(ctx), 1), f4)], axis=1)  # for the biases
+            own, at, member = classes.split(target[i : i + SCORED])
+            part = np.empty(len(ctx))
+            for j in range(0, len(ctx), BATCH):
+                part[j : j + BATCH] = _log_share(ctx[j : j + BATCH] @ q, own[j : j + BATCH])
+            group = (member // slots).astype(np.uint16)
             order = np.argsort(group, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+            cuts = np.append(np.flatnonzero(np.diff(group[order].astype(np.int64), prepend=-1)), len(order))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # the tokens of one class at a time
                 rows, g = at[order[a:b]], int(group[order[a]])
-                z = ctx[rows] @ self.p[g * slots : (g + 1) * slots].T + self.member_bias[g * slots : (g + 1) * slots]
-                part[rows] += _log_share(z, member[order[a:b]] - g * slots)
-            out[i : i + BATCH] = part
+                part[rows] += _log_share(ctx[rows] @ p[g * slots : (g + 1) * slots].T, member[order[a:b]] - g * slots)
+            out[i : i + SCORED] = part
         return out
 
 
 def _log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Logs of the softmax of rows at ``own``; overwrites z."""
     value = z[np.arange(len(z)), own].astype(np.float64)
-    top = z.max(axis=1, keepdims=True)
-    z -= top
+    top = float(z.max())
+    if top > 60 or float(value.min()) < -60:  # sums of float32 exponentials would leave their range
+        high = z.max(axis=1, keepdims=True)
+        z -= high
+        value -= high[:, 0]
     np.exp(z, out=z)
-    return value - top[:, 0] - np.log(z.sum(axis=1, dtype=np.float64))
+    return value - np.log(z.sum(axis=1, dtype=np.float64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -243,7 +255,7 @@ class Trainer:
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.tokens = 0
 
-    def _update(self, k: int, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+    def _update(self, k: int, g: np.ndarray, rows: np.ndarray | slice) -> None:
         """A step of some rows of a parameter, the others having no gradient."""
         x, sums = self.m.parameters()[k], self.sums[k]
         total = sums[rows] + g * g
@@ -260,10 +272,9 @@ class Trainer:
         error = _sigmoid(np.einsum("nd,nkd->nk", ctx, vectors) + m.member_bias[both] - self.log_member[both])
         error[:, 0] -= 1
         error = (error * scale).astype(f4)
-        rows, place = _rows(both.ravel(), len(m.p))
-        columns = (error[:, :, None] * ctx[:, None, :]).reshape(-1, ctx.shape[1]).T
-        self._update(4, _gather(place, columns, len(rows)), rows)
-        self._update(5, np.bincount(place, error.ravel(), len(rows)).astype(f4), rows)
+        rows, sums = _sums(both.ravel(), error[:, :, None] * ctx[:, None, :], error)
+        self._update(4, sums[:, :-1], rows)
+        self._update(5, sums[:, -1], rows)
         return np.einsum("nk,nkd->nd", error, vectors)
 
     def step(self, h: np.ndarray, symbol: np.ndarray) -> None:
@@ -277,21 +288,16 @@ class Trainer:
         false = ctx @ m.q[noise].T + (m.bias - self.log_noise)[noise]
         e_true, e_false = ((_sigmoid(true) - 1) * scale).astype(f4), (_sigmoid(false) * scale).astype(f4)
         g_ctx = e_true[:, None] * own + e_false @ m.q[noise]
-        g_q, g_b = _gather(target, (e_true[:, None] * ctx).T, classes.count), np.bincount(target, e_true, classes.count).astype(f4)
-        np.add.at(g_q, noise, e_false.T @ ctx)
-        np.add.at(g_b, noise, e_false.sum(axis=0))
         if len(at):
             g_ctx[at] += self._members(ctx[at], member, scale)
-        rows, place = _rows(h.ravel(), len(m.r))
-        place, columns = place.reshape(h.shape), np.ascontiguousarray(g_ctx.T, np.float64)
-        old, g_r, g_c = m.r[rows], 0.0, np.zeros_like(m.c)
-        for k in range(len(h)):
-            by_symbol = _gather(place[k], columns, len(rows))  # sums of g_ctx where a symbol stands at place k
-            g_c[k] = (by_symbol * old).sum(axis=0)
-            g_r = g_r + by_symbol * m.c[k]
-        self._update(0, g_r, rows)
-        for k, g in ((1, g_c), (2, g_q), (3, g_b)):
-            self._update(k, g)
+        each = np.concatenate([e_true[:, None] * ctx, e_false.T @ ctx])
+        rows, sums = _sums(np.concatenate([target, noise]), each, np.concatenate([e_true, e_false.sum(axis=0)]))
+        g_c = np.stack([np.einsum("nd,nd->d", g_ctx, m.r[s]) for s in h])
+        self._update(2, sums[:, :-1], rows)
+        self._update(3, sums[:, -1], rows)
+        rows, sums = _sums(h.ravel(), g_ctx[None] * m.c[:, None], None)
+        self._update(0, sums, rows)
+        self._update(1, g_c, slice(None))
 
     def add(self, context: np.ndarray, target: np.ndarray) -> None:
         """Takes tokens in; steps are made of BATCH successive ones, wherever calls end."""
@@ -313,16 +319,18 @@ class Trainer:
         self.waiting = [(h[:, end:], k[end:])] if end < len(k) else []
 
 
-def _rows(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers below n in ``at``, and where each one of ``at`` is among them."""
-    there = np.zeros(n, dtype=bool)
-    there[at] = True
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[at]
-
-
-def _gather(at: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
-    """Sums of columns (width, places) by place, as (n, width)."""
-    return np.stack([np.bincount(at, c, n) for c in columns], axis=1).astype(f4)
+def _sums(at: np.ndarray, values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``at``, ascending, and for each the sum of its
+    rows of values (last dimension: width), with ``more`` as a last column."""
+    values = values.reshape(len(at), -1)
+    if more is not None:
+        values = np.concatenate([values, more.reshape(-1, 1)], axis=1)
+    at = at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at  # sorted in linear time
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    sums = np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
+    return at[first].astype(np.intp), sums.astype(f4)
 
 
 def _hot(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
