@@ -9,19 +9,27 @@ the same block, so a factor is a copy of ``length`` successive words of its bloc
 At a factor's end the windows that straddle the boundary are looked up, too, and
 begin factors of their own.  Words inside factors are duplicates.
 
-Texts are shuffled once, into buckets of their ids, and are then read where they
-are.  To index every window would shuffle the corpus several times over, so
-windows are first represented by their minimiser, the least hash among their
-``anchor``-word shingles: equal windows have equal minimisers, so only windows
-whose minimiser occurs in two rows can be shared, and only those are indexed.
-Both index phases work alike: a task combines what its own documents share and
-passes on one row for each anchor or window that it holds, so the commonest
-passage of the corpus makes one row a task; these rows meet by hash, and what is
-found returns to the documents.  What returns to a document is bounded by its
-own length.
-
-Windows are equal if 96 bits of two hashes of their words are: among 10^13
-distinct windows one wrong pair is expected with probability 0.001.
+To index every window would shuffle the corpus several times over, so there are
+three indexes, each for what the one before leaves open:
+
+* Anchors.  A window is represented by its minimiser, the least hash among its
+  ``anchor``-word shingles.  Equal windows have equal minimisers, so only windows
+  whose minimiser occurs in two rows can be shared.
+* Runs.  Successive windows with one minimiser are a run.  A run that a smaller
+  id has, too, is a piece of a factor as a whole: most of a copy is found here.
+* Windows.  Of the runs that a document is the first to have, those whose anchor
+  has other runs as well may share some windows with them; these are indexed.
+  Whatever a smaller id has is found: its least id is the first to have its run.
+
+All phases work alike: a task combines what its own documents share and passes on
+one row for each anchor, run or window that it holds, so the commonest passage of
+the corpus makes one row a task; these rows meet by hash, and what is found
+returns to the documents.  What returns to a document is bounded by its own
+length.  Texts are shuffled once, into buckets of their ids, and are then read
+where they are.
+
+Windows and runs are equal if 96 bits of two hashes of their words are: among
+10^13 distinct windows one wrong pair is expected with probability 0.001.
 
 Defined cases: null, empty and short texts have no window and lose nothing; a
 null id owns nothing and loses nothing; rows with equal ids are never each
@@ -36,15 +44,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted
 from ..scratch import bucketed, discard, materialise
 from ..session import map_arrow
-from .textkit import NOT_SPACE, STEP, Words, joined_words, pieces, shingle_hashes
+from .textkit import NOT_SPACE, STEP, Words, joined_words, mix, pieces, shingle_hashes, spans
 
 WINDOW = 13
 ANCHOR = 5
+#: Windows of a run at most.
+RUN = 32
 #: Rows that a task combines at a time, at most about.
 COMBINED = 1 << 21
 #: What a row of an index phase is: to be looked up, known to be shared by more
@@ -143,16 +154,16 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.transform(map_arrow, run, f"anchor long, id {docs.schema['_id'].dataType.simpleString()}, role byte")
 
 
-def combined_windows(gathered: Gathered) -> pa.RecordBatch:
-    """``(window, check, id, place, owner, owner_place, role)``: a row to look up
-    for the least document of each window, at its first place there, and
-    answers for the other documents."""
+def combined_places(gathered: Gathered) -> pa.RecordBatch:
+    """``(key, check, id, place, owner, owner_place, role[, anchor])`` from rows of
+    these: a row to look up for the least document of each key, at its first
+    place there, and answers for the other documents."""
     ids, doc, columns = gathered.take()
-    hashed, check, place = columns if columns else (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32))
-    order = np.lexsort((place, doc, check, hashed))
-    hashed, check, doc, place = hashed[order], check[order], doc[order], place[order]
+    key, check, place, *more = columns if columns else (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32))
+    order = np.lexsort((place, doc, check, key))
+    key, check, doc, place = key[order], check[order], doc[order], place[order]
     group, document = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
-    group[1:] = (hashed[1:] != hashed[:-1]) | (check[1:] != check[:-1])
+    group[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     document[1:] = group[1:] | (doc[1:] != doc[:-1])
     first = np.flatnonzero(group)[np.cumsum(group) - 1] if len(group) else np.empty(0, np.int64)
     keep = np.flatnonzero(document)
@@ -160,35 +171,80 @@ def combined_windows(gathered: Gathered) -> pa.RecordBatch:
     owner = ids.take(pa.array(doc[first], mask=asks))
     owner_place = pa.array(place[first], pa.int32(), mask=asks)
     role = np.where(asks, ASKS, ANSWERS).astype(np.int8)
-    columns = [_signed(hashed[keep]), pa.array(check[keep].view(np.int32)), ids.take(pa.array(doc[keep])), pa.array(place[keep]), owner, owner_place, pa.array(role)]
-    return pa.RecordBatch.from_arrays(columns, ["window", "check", "id", "place", "owner", "owner_place", "role"])
+    out = [_signed(key[keep]), pa.array(check[keep].view(np.int32)), ids.take(pa.array(doc[keep])), pa.array(place[keep]), owner, owner_place, pa.array(role), *(_signed(m[order][keep]) for m in more)]
+    return pa.RecordBatch.from_arrays(out, [*PLACES, *["anchor"] * len(more)])
+
+
+PLACES = ["key", "check", "id", "place", "owner", "owner_place", "role"]
+
+
+class Runs:
+    """The runs of a batch: row, first word, number of windows, and hashes; and
+    the words' hashes."""
+
+    def __init__(self, words: Words, window: int, anchor: int):
+        self.hashes = words.hashes()
+        self.at, least = minimisers(words, self.hashes, window, anchor)
+        self.window, self.window_check = (x[self.at] for x in window_hashes(self.hashes, window))
+        rows = words.row_of()[self.at]
+        new = np.ones(len(self.at), dtype=bool)
+        new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
+        index = np.arange(len(self.at))
+        new |= (index - np.flatnonzero(new)[np.cumsum(new) - 1]) % RUN == 0 if len(new) else new
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(new)))
+        place = index - np.repeat(self.first, self.size)
+        self.row, self.anchor = rows[self.first], least[self.first]
+        self.place = (self.at[self.first] - words.first[self.row]).astype(np.int32)
+        add = lambda x, steps: np.add.reduceat(x * steps[place], self.first) if len(x) else np.empty(0, np.uint64)
+        self.key = mix(add(self.window, STEP) + self.size.astype(np.uint64))
+        self.check = (mix(add(self.window_check.astype(np.uint64), STEP[::-1]) + self.size.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _in_pieces(batches: Iterable[pa.RecordBatch], window: int, anchor: int, choose) -> Iterator[pa.RecordBatch]:
+    """Combined rows of what ``choose(batch, words, runs)`` takes of the batches' runs or windows."""
+    gathered = None
+    for b in pieces(batches, "_text"):
+        gathered = gathered or Gathered(b.column(0).type)
+        words = Words(b.column(1), NOT_SPACE, lower=False)
+        if gathered.add(b.column(0), *choose(b, words, Runs(words, window, anchor))):
+            yield combined_places(gathered)
+    if gathered:
+        yield combined_places(gathered)
+
+
+def _of_list(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a list column, and the entries."""
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten()
+
+
+def shared_runs(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The runs whose anchor is among the row's ``_anchors``; marked has ``_id, _text, _anchors``."""
+
+    def choose(b: pa.RecordBatch, words: Words, runs: Runs) -> tuple[np.ndarray, ...]:
+        row, known = _of_list(b.column(2))
+        at = np.flatnonzero(contains_pairs(row, known.to_numpy(zero_copy_only=False).view(np.uint64), runs.row, runs.anchor))
+        return runs.row[at], runs.key[at], runs.check[at], runs.place[at], runs.anchor[at]
 
+    kind = marked.schema["_id"].dataType.simpleString()
+    return marked.transform(map_arrow, lambda batches: _in_pieces(batches, window, anchor, choose), f"key long, check int, id {kind}, place int, owner {kind}, owner_place int, role byte, anchor long")
 
-def shared_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The windows whose minimiser is among the row's ``_anchors``; marked has
-    ``_id, _text, _anchors``."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = None
-        for b in pieces(batches, "_text"):
-            gathered = gathered or Gathered(b.column(0).type)
-            words = Words(b.column(1), NOT_SPACE, lower=False)
-            hashes = words.hashes()
-            at, least = minimisers(words, hashes, window, anchor)
-            rows = words.row_of()[at]
-            known = b.column(2)
-            values = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(b.num_rows), known.value_lengths().to_numpy(zero_copy_only=False))
-            at = at[contains_pairs(owner, values, rows, least)]
-            hashed, check = window_hashes(hashes, window)
-            row = words.row_of()[at]
-            if gathered.add(b.column(0), row, hashed[at], check[at], (at - words.first[row]).astype(np.int32)):
-                yield combined_windows(gathered)
-        if gathered:
-            yield combined_windows(gathered)
+def open_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The windows of the runs that ``_runs`` lists without an owner; marked has ``_id, _text, _runs``."""
+
+    def choose(b: pa.RecordBatch, words: Words, runs: Runs) -> tuple[np.ndarray, ...]:
+        row, known = _of_list(b.column(2))
+        asked = np.asarray(known.field(1).is_null())
+        keys = known.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        open_ = np.flatnonzero(contains_pairs(row[asked], keys[asked], runs.row, runs.key))
+        at = spans(runs.first[open_], runs.size[open_])
+        row = np.repeat(runs.row[open_], runs.size[open_])
+        return row, runs.window[at], runs.window_check[at], (runs.at[at] - words.first[row]).astype(np.int32)
 
     kind = marked.schema["_id"].dataType.simpleString()
-    return marked.transform(map_arrow, run, f"window long, check int, id {kind}, place int, owner {kind}, owner_place int, role byte")
+    return marked.transform(map_arrow, lambda batches: _in_pieces(batches, window, anchor, choose), f"key long, check int, id {kind}, place int, owner {kind}, owner_place int, role byte")
 
 
 def contains_pairs(row_a: np.ndarray, value_a: np.ndarray, row_b: np.ndarray, value_b: np.ndarray) -> np.ndarray:
@@ -223,48 +279,92 @@ def texts_by_id(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> tup
     return some, docs.filter(F.col(id_col).isNull()).select(*columns).select("_id", *text)
 
 
-def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(_doc, _owned array<struct<window, owner, place>>)`` of the documents
-    that have windows of a smaller id; docs has ``_id, _text`` in buckets of ids."""
+def _suspects(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(_doc, _anchors)``: each document's minimisers that another row has, too."""
     rows = materialise(anchors(docs, window, anchor), "anchors")
     # one row a task for each anchor, and one more for those that it has seen twice
     seen = F.sum(F.when(F.col("role") == MARKS, 2).otherwise(1)).over(Window.partitionBy("anchor"))
     asked = rows.filter(F.col("role") != ANSWERS).withColumn("_n", seen).filter((F.col("_n") > 1) & (F.col("role") == ASKS))
     shared = asked.select("id", "anchor").unionByName(rows.filter(F.col("role") == ANSWERS).select("id", "anchor"))
-    suspects = shared.groupBy(F.col("id").alias("_doc")).agg(F.collect_set("anchor").alias("_anchors"))
+    suspects = materialise(shared.groupBy(F.col("id").alias("_doc")).agg(F.collect_set("anchor").alias("_anchors")), "suspects")
+    discard(rows)
+    return suspects
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    """``(id, entry)`` of rows of ``combined_places``: where a smaller id has the key."""
+    first = F.min(F.struct("id", "place")).over(Window.partitionBy("key", "check"))  # one row a task
+    asked = rows.filter(F.col("role") == ASKS).withColumn("_first", first).filter(F.col("_first.id") < F.col("id"))
+    told = rows.filter(F.col("role") == ANSWERS)
+    return asked.select("id", _entry("_first.id", "_first.place")).unionByName(told.select("id", _entry("owner", "owner_place")))
+
+
+def _entry(owner, place) -> Column:
+    column = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.struct("key", column(owner).alias("owner"), column(place).alias("place")).alias("entry")
+
+
+def _listed(entries: DataFrame, name: str) -> DataFrame:
+    return materialise(entries.groupBy(F.col("id").alias("_doc")).agg(F.collect_list("entry").alias(name)), name.strip("_"))
+
+
+def _runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(_doc, _runs array<struct<key, owner, place>>)``: runs that a smaller id
+    has, and, with null for the owner, those that are to be looked at by window."""
+    suspects = _suspects(docs, window, anchor)
     marked = docs.join(suspects, docs["_id"] == suspects["_doc"]).select("_id", "_text", "_anchors")
-    found = materialise(shared_windows(marked, window, anchor), "windows")
+    rows = materialise(shared_runs(marked, window, anchor), "runs")
+    discard(suspects)
+    kinds = rows.schema
+    asks = rows.filter(F.col("role") == ASKS)
+    # anchors with several runs; the minimum and maximum are partially aggregated
+    varied = asks.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a < _b").select("anchor", "_n")
+    first = F.min("id").over(Window.partitionBy("key", "check"))
+    own = asks.withColumn("_first", first).filter(F.col("_first") == F.col("id")).select("id", "key", "anchor")
+    none = (F.lit(None).cast(kinds["owner"].dataType), F.lit(None).cast("int"))
+    open_ = join_counted(own, varied, ["anchor"], asks.count()).select("id", _entry(*none))
+    listed = _listed(_answers(rows).unionByName(open_), "_runs")
+    discard(rows)
+    return listed
+
+
+def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``(_doc, _runs, _windows)``, arrays of struct<key, owner, place>, of the
+    documents that have runs or windows of a smaller id; docs has ``_id, _text`` in buckets of ids."""
+    runs = _runs(docs, window, anchor)
+    marked = docs.join(runs.filter(F.exists("_runs", lambda r: r["owner"].isNull())), docs["_id"] == F.col("_doc")).select("_id", "_text", "_runs")
+    rows = materialise(open_windows(marked, window, anchor), "windows")
+    windows = _listed(_answers(rows), "_windows")
     discard(rows)
-    # one row a task for each window, of its least id there
-    first = F.min(F.struct("id", "place")).over(Window.partitionBy("window", "check"))
-    asked = found.filter(F.col("role") == ASKS).withColumn("_first", first).filter(F.col("_first.id") < F.col("id"))
-    entry = lambda owner, place: F.struct("window", F.col(owner).alias("owner"), F.col(place).alias("place")).alias("entry")
-    entries = asked.select("id", entry("_first.id", "_first.place")).unionByName(found.filter(F.col("role") == ANSWERS).select("id", entry("owner", "owner_place")))
-    owned = materialise(entries.groupBy(F.col("id").alias("_doc")).agg(F.collect_list("entry").alias("_owned")), "owned")
-    discard(found)
-    return owned
+    owned = runs.withColumn("_runs", F.filter("_runs", lambda r: r["owner"].isNotNull()))
+    return owned.join(windows, "_doc", "full").filter("_windows is not null or size(_runs) > 0")
 
 
 class Parse:
-    """The factors of a batch, from its texts and what its windows' blocks are."""
+    """The factors of a batch, from its texts and the owners of its runs and windows."""
 
-    def __init__(self, texts: pa.Array, owned: pa.Array, window: int):
+    def __init__(self, texts: pa.Array, runs: pa.Array, windows: pa.Array, window: int, anchor: int):
         self.words = words = Words(texts, NOT_SPACE, lower=False)
-        entries = owned.flatten()
-        sizes = np.asarray(owned.value_lengths().fill_null(0))
         covered = np.zeros(len(words) + 1, dtype=np.int64)
         self.row = self.start = self.length = self.place = np.empty(0, np.int64)
-        self.owner = entries.field(1).slice(0, 0)
-        if len(entries):
-            at = words.fits(window)
-            rows = words.row_of()[at]
-            hashes = shingle_hashes(words.hashes(), window)[at]
-            found = locate_pairs(np.repeat(np.arange(len(sizes)), sizes), entries.field(0).to_numpy(zero_copy_only=False).view(np.uint64), rows, hashes)
-            hit = np.flatnonzero(found >= 0)
-            at, rows, found = at[hit], rows[hit], found[hit]
-            owner = entries.field(1).take(pa.array(found))
+        both = pa.concat_arrays([runs.flatten(), windows.flatten()])
+        self.owner = both.field(1).slice(0, 0)
+        if len(both):
+            found = Runs(words, window, anchor)
+            rows = np.repeat(found.row, found.size)
+            row_of, entries = _of_list(runs)
+            entry = locate_pairs(row_of, entries.field(0).to_numpy(zero_copy_only=False).view(np.uint64), found.row, found.key)
+            entry = np.repeat(entry, found.size)
+            shift = np.arange(len(entry)) - np.repeat(found.first, found.size)  # a window's place in its run
+            row_of, windows_ = _of_list(windows)
+            single = locate_pairs(row_of, windows_.field(0).to_numpy(zero_copy_only=False).view(np.uint64), rows, found.window)
+            shift[entry < 0] = 0
+            entry = np.where(entry >= 0, entry, np.where(single >= 0, single + len(entries), -1))
+            hit = np.flatnonzero(entry >= 0)
+            at, rows, entry, shift = found.at[hit], rows[hit], entry[hit], shift[hit]
+            owner = both.field(1).take(pa.array(entry))
             block = owner.dictionary_encode().indices.to_numpy()
-            place = entries.field(2).to_numpy(zero_copy_only=False)[found].astype(np.int64)
+            place = both.field(2).to_numpy(zero_copy_only=False)[entry].astype(np.int64) + shift
             new = np.ones(len(at), dtype=bool)
             new[1:] = (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1]) | (block[1:] != block[:-1]) | (place[1:] != place[:-1] + 1)
             first = np.flatnonzero(new)
@@ -279,14 +379,14 @@ class Parse:
 
 
 def _parsed(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int, run, schema, whole: bool = False) -> DataFrame:
-    """``run`` over batches of ``(_id, _text[, _row], _owned)`` of all rows."""
+    """``run`` over batches of ``(_id, _text[, _row], _runs, _windows)`` of all rows."""
     some, rest = texts_by_id(docs, id_col, text_col, whole)
     texts = some.select("_id", F.col("_row").getField(text_col).alias("_text") if whole else "_text")
     owned = owners(texts, window, anchor)
     every = some.select(*rest.columns) if not whole else some.select("_id", F.col("_row").getField(text_col).alias("_text"), "_row")
     joined = every.join(owned, every["_id"] == owned["_doc"], "left").drop("_doc")
-    none = F.lit(None).cast(owned.schema["_owned"].dataType)
-    return joined.transform(map_arrow, run, schema).unionByName(rest.withColumn("_owned", none).transform(map_arrow, run, schema))
+    none = {name: F.lit(None).cast(owned.schema[name].dataType) for name in ("_runs", "_windows")}
+    return joined.transform(map_arrow, run, schema).unionByName(rest.withColumns(none).transform(map_arrow, run, schema))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -294,7 +394,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
-            parse = Parse(b.column(1), b.column(2), window)
+            parse = Parse(b.column(1), b.column(2), b.column(3), window, anchor)
             kept = joined_words(parse.words, ~parse.removed)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(parse.words.counts), pa.array(parse.counts()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
@@ -311,7 +411,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
-            p = Parse(b.column(1), b.column(2), window)
+            p = Parse(b.column(1), b.column(2), b.column(3), window, anchor)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(p.row)), pa.array(p.start - p.words.first[p.row]), pa.array(p.length), p.owner, pa.array(p.place)],
                 ["doc_id", "start", "length", "owner", "owner_start"],
@@ -330,7 +430,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
             texts, columns = b.column(1), b.column(2).flatten()
-            parse = Parse(texts, b.column(3), window)
+            parse = Parse(texts, b.column(3), b.column(4), window, anchor)
             lost = parse.counts() > 0
             if lost.any():
                 kept = joined_words(parse.words, ~parse.removed)
