@@ -146,14 +146,13 @@ class Classes:
         return out, at, member
 
 
-def contexts(t: Tokens, classes: np.ndarray, size: int) -> np.ndarray:
-    """(size, tokens): the class i + 1 places before each token; 0 before the text."""
-    place = np.arange(len(classes)) - np.repeat(t.first[:-1], t.number)
-    out = np.zeros((size, len(classes)), dtype=np.intp)
-    for i in range(size):
-        out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
-        out[i, place <= i] = 0
-    return out
+def sequence(t: Tokens, symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, each text after ``size`` times 0, and the places of
+    its tokens: the context of a place is the ``size`` places before it."""
+    place = np.arange(len(symbols)) + np.repeat(np.arange(1, t.rows + 1) * size, t.number)
+    out = np.zeros(len(symbols) + t.rows * size, dtype=np.intp)
+    out[place] = symbols
+    return out, place
 
 
 class Model:
@@ -187,26 +186,27 @@ class Model:
             i += x.size
         return Model(*out)
 
-    def contexts(self, h: np.ndarray) -> np.ndarray:
-        """(tokens, width) for the symbols (size, tokens) before each."""
-        out = self.r[h[0]]
-        out *= self.c[0]
-        for k in range(1, len(h)):
-            part = self.r[h[k]]
-            part *= self.c[k]
-            out += part
+    def contexts(self, vectors: np.ndarray) -> np.ndarray:
+        """(places, width) from the vectors R of these places and the ones before
+        the first: vectors are looked up once and shifted."""
+        size = len(self.c)
+        n = len(vectors) - size
+        out = vectors[size - 1 : size - 1 + n] * self.c[0]
+        for k in range(1, size):
+            out += vectors[size - 1 - k : size - 1 - k + n] * self.c[k]
         return out
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, classes: Classes) -> np.ndarray:
-        """Natural logs of the target symbols, normalised over all classes and all members of a class."""
-        out = np.empty(len(target))
+    def log_probabilities(self, symbols: np.ndarray, places: np.ndarray, classes: Classes) -> np.ndarray:
+        """Natural logs of the symbols at ``places``, normalised over all classes and all members of a class."""
+        out, size = np.empty(len(places)), len(self.c)
         q = np.ascontiguousarray(np.concatenate([self.q, self.bias[:, None]], axis=1).T)
         p = np.concatenate([self.p, self.member_bias[:, None]], axis=1)
         slots = classes.slots
-        for i in range(0, len(target), SCORED):
-            ctx = self.contexts(context[:, i : i + SCORED])
+        for i in range(0, len(places), SCORED):
+            some = places[i : i + SCORED]
+            ctx = self.contexts(self.r[symbols[some[0] - size : some[-1] + 1]])[some - some[0]]
             ctx = np.concatenate([ctx, np.ones((len(ctx), 1), f4)], axis=1)  # for the biases
-            own, at, member = classes.split(target[i : i + SCORED])
+            own, at, member = classes.split(symbols[some])
             part = np.empty(len(ctx))
             for j in range(0, len(ctx), BATCH):
                 part[j : j + BATCH] = _log_share(ctx[j : j + BATCH] @ q, own[j : j + BATCH])
@@ -277,11 +277,14 @@ class Trainer:
         self._update(5, sums[:, -1], rows)
         return np.einsum("nk,nkd->nd", error, vectors)
 
-    def step(self, h: np.ndarray, symbol: np.ndarray) -> None:
-        m, n, classes = self.m, len(symbol), self.classes
+    def step(self, symbols: np.ndarray, at_: np.ndarray) -> None:
+        """One step of the tokens ``at_`` in symbols, all at least CONTEXT from its start."""
+        m, n, classes = self.m, len(at_), self.classes
+        size = len(m.c)
         scale = f4(1 / np.sqrt(n))
-        ctx = m.contexts(h)
-        target, at, member = classes.split(symbol)
+        vectors = m.r[symbols]
+        ctx = m.contexts(vectors)[at_ - size]
+        target, at, member = classes.split(symbols[at_])
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), classes.count - 1)
         own = m.q[target]
         true = np.einsum("nd,nd->n", ctx, own) + m.bias[target] - self.log_noise[target]
@@ -292,17 +295,24 @@ class Trainer:
             g_ctx[at] += self._members(ctx[at], member, scale)
         each = np.concatenate([e_true[:, None] * ctx, e_false.T @ ctx])
         rows, sums = _sums(np.concatenate([target, noise]), each, np.concatenate([e_true, e_false.sum(axis=0)]))
-        g_c = np.stack([np.einsum("nd,nd->d", g_ctx, m.r[s]) for s in h])
+        g = np.zeros((len(symbols) - size, ctx.shape[1]), dtype=f4)
+        g[at_ - size] = g_ctx
+        g_c, g_r = np.empty_like(m.c), np.zeros_like(vectors)
+        for k in range(size):  # a place's vector is in the contexts of the places after it
+            before = slice(size - 1 - k, size - 1 - k + len(g))
+            g_c[k] = np.einsum("nd,nd->d", g, vectors[before])
+            g_r[before] += g * m.c[k]
         self._update(2, sums[:, :-1], rows)
         self._update(3, sums[:, -1], rows)
-        rows, sums = _sums(h.ravel(), g_ctx[None] * m.c[:, None], None)
+        rows, sums = _sums(symbols, g_r, None)
         self._update(0, sums, rows)
         self._update(1, g_c, slice(None))
 
-    def add(self, context: np.ndarray, target: np.ndarray) -> None:
-        """Takes tokens in; steps are made of BATCH successive ones, wherever calls end."""
-        self.waiting.append((context, target))
-        self.tokens += len(target)
+    def add(self, symbols: np.ndarray, places: np.ndarray) -> None:
+        """Takes texts in (see ``sequence``); steps are made of BATCH successive tokens, wherever calls end."""
+        held = sum(len(x) for x, _ in self.waiting)
+        self.waiting.append((symbols, places + held))
+        self.tokens += len(places)
         if sum(len(k) for _, k in self.waiting) >= 8 * BATCH:
             self._steps(False)
 
@@ -312,11 +322,14 @@ class Trainer:
     def _steps(self, all_: bool) -> None:
         if not self.waiting:
             return
-        h, k = np.concatenate([h for h, _ in self.waiting], axis=1), np.concatenate([k for _, k in self.waiting])
-        end = len(k) if all_ else len(k) // BATCH * BATCH
+        symbols, places = np.concatenate([x for x, _ in self.waiting]), np.concatenate([k for _, k in self.waiting])
+        end = len(places) if all_ else len(places) // BATCH * BATCH
         for i in range(0, end, BATCH):
-            self.step(h[:, i : i + BATCH][:, : end - i], k[i : min(i + BATCH, end)])
-        self.waiting = [(h[:, end:], k[end:])] if end < len(k) else []
+            some = places[i : min(i + BATCH, end)]
+            start = some[0] - CONTEXT
+            self.step(symbols[start : some[-1] + 1], some - start)
+        left = places[end:]
+        self.waiting = [(symbols[left[0] - CONTEXT :], left - left[0] + CONTEXT)] if len(left) else []
 
 
 def _sums(at: np.ndarray, values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +384,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_t
         for b in pieces(batches, "_text"):
             t = Tokens(b.column(1))
             k = classes.of(t)
-            logp = model.log_probabilities(contexts(t, k, CONTEXT), k, classes) / np.log(10) - tree.log_others[k]
+            logp = model.log_probabilities(*sequence(t, k, CONTEXT), classes) / np.log(10) - tree.log_others[k]
             distinct, inverse = np.unique(t.hash, return_inverse=True)
             at = np.minimum(np.searchsorted(hot_token, distinct), max(len(hot_token) - 1, 0))
             found = hot_token[at] == distinct if len(hot_token) else np.zeros(len(distinct), bool)
@@ -482,8 +495,8 @@ def _average(texts: DataFrame, model: Model, tree: Tree, rate: float, epochs: in
             trainer.finish()
             for e in range(1, epochs):
                 trainer.rate = rate / (1 + e)
-                for h, k in kept:
-                    trainer.add(h, k)
+                for text in kept:
+                    trainer.add(*text)
                 trainer.finish()
             seen = trainer.tokens // epochs
             total += trainer.m.vector().astype(np.float64) * seen
@@ -503,10 +516,10 @@ def _average(texts: DataFrame, model: Model, tree: Tree, rate: float, epochs: in
                 t = Tokens(b.column(0).slice(i, j - i))
                 used += int(t.number.sum())
                 k = classes.of(t)
-                h = contexts(t, k, CONTEXT)
-                trainer.add(h, k)
+                text = sequence(t, k, CONTEXT)
+                trainer.add(*text)
                 if epochs > 1:
-                    kept.append((h, k))
+                    kept.append(text)
         if trainer is not None:
             finish()
         if tokens:

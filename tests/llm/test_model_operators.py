@@ -146,7 +146,8 @@ def test_model_is_normalised():
     tree = small_tree()
     model = logbilinear.Model.start(tree.share, tree.member_share, 3, 5)
     n = tree.classes.symbols
-    p = np.exp(model.log_probabilities(np.array([[1] * n, [2] * n, [7] * n]), np.arange(n), tree.classes))
+    symbols = np.array([[7, 2, 1, s] for s in range(n)]).ravel()
+    p = np.exp(model.log_probabilities(symbols, np.arange(n) * 4 + 3, tree.classes))
     assert abs(p.sum() - 1) < 1e-5
     absent = np.flatnonzero(tree.member_share.ravel() == 0) + tree.classes.single
     assert len(absent) == 6 and (p[absent] < 1e-9).all()
@@ -158,7 +159,8 @@ def test_probabilities_match_plain_python():
     classes, rng = tree.classes, random.Random(4)
     context = [[rng.randrange(classes.symbols) for _ in range(50)] for _ in range(2)]
     target = [rng.choice([s for s in range(classes.symbols) if s < classes.single or tree.member_share.ravel()[s - classes.single] > 0]) for _ in range(50)]
-    got = model.log_probabilities(np.array(context), np.array(target), classes)
+    symbols = np.array([[context[1][j], context[0][j], target[j]] for j in range(50)]).ravel()
+    got = model.log_probabilities(symbols, np.arange(50) * 3 + 2, classes)
     soft = lambda z, i: z[i] - math.log(sum(math.exp(x) for x in z))
     for j in range(50):
         ctx = [sum(float(model.r[context[k][j]][d]) * float(model.c[k][d]) for k in range(2)) for d in range(4)]
@@ -172,6 +174,27 @@ def test_probabilities_match_plain_python():
         assert abs(got[j] - want) < 1e-3
 
 
+def test_sequences_keep_texts_apart():
+    t = logbilinear.Tokens(pa.array(["a b", None, "c"]))
+    symbols, places = logbilinear.sequence(t, np.arange(1, 7), 2)
+    assert symbols.tolist() == [0, 0, 1, 2, 3, 0, 0, 4, 0, 0, 5, 6] and places.tolist() == [2, 3, 4, 7, 10, 11]
+
+
+def test_steps_do_not_depend_on_calls(monkeypatch):
+    monkeypatch.setattr(logbilinear, "BATCH", 7)
+    tree, rng = small_tree(), np.random.Generator(np.random.PCG64(3))
+    texts = [np.append(np.zeros(logbilinear.CONTEXT, np.int64), rng.integers(0, 9, n)) for n in (30, 1, 55, 90)]
+    vectors = []
+    for groups in ([[0, 1, 2, 3]], [[0], [1, 2], [3]]):
+        trainer = logbilinear.Trainer(logbilinear.Model.start(tree.share, tree.member_share), tree.classes, tree.share, tree.member_share, 0.1, 5)
+        for g in groups:
+            starts = np.cumsum([0] + [len(texts[i]) for i in g])
+            trainer.add(np.concatenate([texts[i] for i in g]), np.concatenate([np.arange(logbilinear.CONTEXT, len(texts[i])) + a for i, a in zip(g, starts)]))
+        trainer.finish()
+        vectors.append(trainer.m.vector())
+    assert (vectors[0] == vectors[1]).all()
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = table(spark, SF, "documents")
     one, eight = (sorted((r.doc_id, r.score) for r in logbilinear.score(docs.repartition(n), start_bytes=1 << 18).collect()) for n in (1, 8))
