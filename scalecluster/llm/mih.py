@@ -188,12 +188,13 @@ def _radius(rows: DataFrame, axes: np.ndarray, ids: list, checked: np.ndarray, k
                 codes = encode(x, axes)
                 both = np.concatenate([best, near], axis=1)
                 far = np.concatenate([apart, np.stack([distance(codes, c[None, :]) for c in code])], axis=1)
-                order = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                # of equally near rows those with the farthest codes count: any of them may be an answer
+                order = np.argpartition(-(np.round(both, 12) + far * 1e-14), k - 1, axis=1)[:, :k]
                 best, apart = np.take_along_axis(both, order, 1), np.take_along_axis(far, order, 1)
         at = np.flatnonzero(best.ravel() > -2)
-        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(best.ravel()[at]), pa.array(apart.ravel()[at])], ["q", "score", "apart"])
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(np.round(best.ravel()[at], 12)), pa.array(apart.ravel()[at])], ["q", "score", "apart"])
 
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "apart"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("apart")))
     found = rows.transform(map_arrow, run, "q long, score double, apart long").withColumn("_rank", rank).filter(F.col("_rank") <= k).select("apart").collect()  # CHECKED * k rows at most
     return int(np.quantile([r.apart for r in found], 1 - MISS, method="higher")) if found else BITS
 

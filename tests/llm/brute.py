@@ -121,3 +121,23 @@ def extendible(sizes, limit):
 
     split("", sizes)
     return out
+
+
+def simhash_keepers(docs):
+    """The least id of each group; docs have distinct ids."""
+    return {component for _, _, component in simhash(docs)}
+
+
+def cut_duplicates(docs, width=13):
+    """docs without the words that ``substring_dedup`` removes; texts that lose nothing stay as they are."""
+    first = {}
+    split = {i: SPACE_WORD.findall(t or "") for i, t in docs}
+    for i in sorted(split):
+        for k in range(len(split[i]) - width + 1):
+            first.setdefault(tuple(split[i][k : k + width]), i)
+    out = []
+    for i, text in docs:
+        words = split[i]
+        gone = {k + j for k in range(len(words) - width + 1) if first[tuple(words[k : k + width])] < i for j in range(width)}
+        out.append((i, " ".join(w for k, w in enumerate(words) if k not in gone) if gone else text))
+    return out

@@ -53,6 +53,42 @@ def test_toxicity_features_are_whole_ngrams():
     assert set(wanted[1]) == set(again[1]) and set(again[0]) == {2}
 
 
+def plain_features(text):
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    data = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in data)
+    grams = {data[i : i + n] for n in (3, 4, 5, 6) for i in range(len(data) - n + 1)}
+    return {((int.from_bytes(g, "little") << (64 - 8 * len(g))) * int(toxicity.MULTIPLIERS[len(g)]) % 2**64) >> 44 for g in grams}
+
+
+def test_toxicity_against_plain_python(spark):
+    docs = table(spark, SF, "documents")
+    model = toxicity.train(docs, table(spark, SF, "labels"), "doc_id", "text", "toxic", toxicity.MAX_POSITIVE, toxicity.MAX_NEGATIVE, toxicity.MAX_BYTES)
+    got = {r.doc_id: (r.score, r.predicted) for r in QUERIES["op2_toxicity"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        z = model.bias + sum(float(model.weights[f]) for f in plain_features(text))
+        score = 1 / (1 + math.exp(-z))
+        assert abs(got[i][0] - score) < 1e-9 and got[i][1] == int(got[i][0] >= 0.3)
+
+
+def test_toxicity_fits_plain_ratios():
+    texts, labels = ["bad words", "bad day", "good words", "fine words", "fine day"], np.array([1, 1, 0, 0, 0])
+    model = toxicity.fit([pa.array(texts)], labels, np.ones(5), least_gain=-1.0, steps=0, keep=1 << 20)
+    assert abs(model.bias - math.log(2.5 / 3.5)) < 1e-12
+    model = toxicity.fit([pa.array(texts * 3)], np.tile(labels, 3), np.ones(15), least_gain=-1.0, keep=1 << 20)
+    bad, fine = (next(iter(plain_features(g) - set())) for g in ("bad", "fin"))
+    assert model.weights[bad] > 0 > model.weights[fine]
+
+
+def test_repeated_ids_do_not_crowd_the_fit(spark):
+    rows = [(1, "horrid thing")] * 300 + [(i, "nice thing" if i % 2 else "horrid thing") for i in range(2, 60)] + [(1, "a")]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(2, 60)] + [(1, 0), (1, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted((r.doc_id, r.score) for r in toxicity.toxicity(d, labels).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == len(rows)
+
+
 # --- language ----------------------------------------------------------------
 
 
@@ -89,6 +125,57 @@ def test_more_than_64_languages_are_learned(spark):
     assert len({r.lang_pred for r in got}) > 64 and sum(right) / len(right) >= 0.9
 
 
+def plain_probabilities(net, symbols):
+    """A window's mean probabilities, by loops."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(d, order):
+        hidden = d.recurrent.shape[1]
+        h, out = [0.0] * hidden, []
+        for s in order:
+            inner = [sum(float(d.recurrent[i][j]) * h[j] for j in range(hidden)) for i in range(3 * hidden)]
+            x = [float(d.table[i][s]) for i in range(3 * hidden)]
+            update = [sigmoid(x[i] + inner[i]) for i in range(hidden)]
+            reset = [sigmoid(x[hidden + i] + inner[hidden + i]) for i in range(hidden)]
+            new = [math.tanh(x[2 * hidden + i] + reset[i] * inner[2 * hidden + i]) for i in range(hidden)]
+            h = [update[i] * h[i] + (1 - update[i]) * new[i] for i in range(hidden)]
+            out.append(h)
+        return out
+
+    ahead, back = states(net.ahead, symbols), states(net.back, symbols[::-1])[::-1]
+    total = [0.0] * len(net.bias)
+    for s, a, b in zip(symbols, ahead, back):
+        z = [sum(float(w) * v for w, v in zip(row, a + b)) + float(c) for row, (c,) in zip(net.out, net.bias)]
+        top = max(z)
+        e = [math.exp(v - top) for v in z]
+        if s != langid.PAD:
+            total = [t + v / sum(e) for t, v in zip(total, e)]
+    return total
+
+
+def test_labels_match_plain_python():
+    net = langid.Network.random(3, hidden=4, seed=9)
+    texts = ["Some text", "x" * 70 + " ÄÖ", "", "z"]
+    got = langid.label_batch(net, pa.array([*texts, None]))
+    for text, p in zip(texts, got):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        total = [0.0] * 3
+        for i in range(0, len(raw), langid.WINDOW):
+            part = list(raw[i : i + langid.WINDOW])
+            total = [a + b for a, b in zip(total, plain_probabilities(net, part + [langid.PAD] * (langid.WINDOW - len(part))))]
+        assert all(abs(a / max(1, len(raw)) - b) < 1e-4 for a, b in zip(total, p))
+    assert (got[4] == 0).all()
+
+
+def test_language_of_repeated_rows_and_ties(spark):
+    rows = [(1, "same words here", "aa")] * 40 + [(2, "same words here", "bb")] * 40 + [(1, "same words here", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 81 and len({(r.lang_pred, round(r.score, 6)) for r in got}) == 1
+    assert {r.lang_pred for r in got} <= {"aa", "bb"}
+    only = spark.createDataFrame([(0, "words", "aa"), (1, "words", "aa"), (2, "words", "aa")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 6)) for r in langid.identify(only).collect()} == {("aa", 1.0)}
+
+
 def test_gradients_match_differences():
     rng = np.random.Generator(np.random.PCG64(2))
     net = langid.Network.random(3, hidden=3, seed=1)
@@ -242,7 +329,8 @@ def test_recall(spark):
         assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
-def test_neighbours_of_odd_vectors(spark):
+def test_neighbours_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mih, "MISS", 0.0)  # all rows are checked here, so nothing is missed
     rows = [(i, [float(i % 7), 1.0, float(i % 3)], "x") for i in range(60)]
     rows += [(100, None, "x"), (150, [0.0, 0.0, 0.0], "x"), (200, [float("nan"), 1.0, 1.0], "x"), (250, [float("inf"), 1.0, 1.0], "x"), (300, [1.0, None, 1.0], "x"), (350, [1.0], "x"), (None, [1.0, 1.0, 1.0], "x"), (50, [5.0, 5.0, 5.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
@@ -255,11 +343,57 @@ def test_neighbours_of_odd_vectors(spark):
     assert mih.search(df.limit(0), df.limit(0)).count() == 0
     few = df.filter("vec_id in (0, 1, 2)")
     assert [r.vec_id for r in mih.search(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
-    blocks = mih.search(df.filter("vec_id < 60"), df.filter("vec_id < 60 and vec_id % 10 = 0"), query_block=2)
+    tens = df.filter("vec_id < 60")
+    blocks = mih.search(tens, tens.filter("vec_id % 10 = 0"), row_block=7, query_block=2)
+    assert sorted(map(tuple, blocks.collect()), key=str) == sorted(map(tuple, mih.search(tens, tens.filter("vec_id % 10 = 0")).collect()), key=str)
     assert blocks.select("query_id").distinct().count() == 6
 
 
-def test_a_longer_vector_does_not_set_the_length(spark):
+def test_far_values_repeated_queries_and_equal_vectors(spark):
+    r = random.Random(5)
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    rows = [(i, [x * (1e250 if i % 3 == 0 else 1e-250 if i % 3 == 1 else 1) for x in v]) for i, v in enumerate(base)]
+    rows += [(100 + i, base[0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mih.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [x.vec_id for x in got] == [100, 101, 102, 103, 104] and all(abs(x.score - 1) < 1e-12 for x in got)
+    own = mih.search(df, df.filter("vec_id in (3, 4)").unionByName(df.filter("vec_id = 3")), k=3)
+    assert sorted((x.query_id, x.rank) for x in own.collect()) == sorted([(3, k) for k in (1, 2, 3)] * 2 + [(4, k) for k in (1, 2, 3)])
+    truth = exact([(i, [x / max(map(abs, v)) for x in v]) for i, v in rows])
+    assert [x.vec_id for x in got] == truth[0]
+
+
+def test_more_neighbours_and_many_buckets(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in table(spark, sf, "embeddings").collect()]
+    truth = exact(rows, 20)
+    monkeypatch.setattr(mih, "ROW_BLOCK", 150)  # four bits of prefix
+    vectors = table(spark, sf, "embeddings")
+    got = mih.search(vectors, vectors.filter("vec_id % 50 = 0"), k=20, row_block=150, query_block=7).collect()
+    hit = sum(r.vec_id in set(truth[r.query_id]) for r in got)
+    assert len(got) == 20 * len(truth) and hit >= 0.9 * 20 * len(truth)
+    assert len({(r.query_id, r.vec_id) for r in got}) == len(got)
+
+
+def test_few_rows_are_reranked():
+    import pyarrow.parquet as pq
+
+    vectors = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").combine_chunks()
+    x = mih.matrix(vectors, 64)
+    axes = mih.learn_axes(x)
+    codes, u = mih.encode(x, axes), x / mih.norms(x)[:, None]
+    near = u[:64] @ u.T
+    near[np.arange(64), np.arange(64)] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    radius = int(np.quantile([mih.distance(codes[best[i]], codes[i : i + 1]) for i in range(64)], 1 - mih.MISS, method="higher"))
+    index = mih.Index.choose(radius, mih.BITS, len(x))
+    found = [np.concatenate([index.candidates(codes, codes[i : i + 1], p) for p in range(index.m)]) for i in range(64)]
+    assert sum(map(len, found)) <= 0.1 * 64 * len(x)
+    assert sum(len(set(f) & set(b)) for f, b in zip(found, best)) >= 0.9 * 5 * 64
+
+
+def test_a_longer_vector_does_not_set_the_length(spark, monkeypatch):
+    monkeypatch.setattr(mih, "MISS", 0.0)
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
     for stray in ([1.0] * 5, [1.0, None, float("nan"), 1.0]):
         df = spark.createDataFrame([*rows, (100, stray)], "vec_id long, embedding array<float>")
@@ -268,11 +402,17 @@ def test_a_longer_vector_does_not_set_the_length(spark):
         assert len(got) == 10
 
 
-def test_pigeonhole_probing_is_complete():
+@pytest.mark.parametrize("m, prefix", [(2, 0), (4, 3), (8, 6), (16, 9)])
+def test_pigeonhole_probing_is_complete(m, prefix):
     rng = np.random.Generator(np.random.PCG64(8))
-    codes = rng.integers(0, 2**16, (3000, 8)).astype(np.uint16)
-    codes[:300] = codes[0] ^ (rng.random((300, 8)) < 0.3) * rng.integers(0, 2**16, (300, 8)).astype(np.uint16)
-    index = mih.BlockIndex(codes)
-    for radius in (0, 3, 20, 45, 60):
-        far = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
-        assert index.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
+    codes = rng.integers(0, 256, (2000, 32)).astype(np.uint8)
+    codes[:300] = codes[0] ^ np.where(rng.random((300, 32)) < 0.4, 1 << rng.integers(0, 8, (300, 32)), 0).astype(np.uint8)
+    for radius in (0, 3, 20, 60, 110, 256):
+        index = mih.Index(radius, 256, m, prefix)
+        found = []
+        for p in range(m):
+            reach = set((index.bucket(codes[:1], p)[0] ^ index.reach(p)).tolist())
+            here = np.array([b in reach for b in index.bucket(codes, p).tolist()])
+            found += np.flatnonzero(here)[index.candidates(codes[here], codes[:1], p)].tolist()
+        far = mih.distance(codes, codes[:1])
+        assert sorted(found) == np.flatnonzero(far <= radius).tolist()  # each once

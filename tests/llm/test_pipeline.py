@@ -71,6 +71,42 @@ def test_stages(spark, small, tmp_path):
     assert total == lengths
 
 
+def expected_run(docs, items, kept):
+    """The pieces of run's last stage without their sequences; ``kept`` are the ids that toxicity keeps."""
+    left = [d[:2] for d in docs if d[0] in kept]
+    left = [(i, t) for i, t in left if i in set(brute.simhash_keepers(left))]
+    cut = brute.cut_duplicates(left)
+    left = [d for d, r in zip(cut, brute.contamination(cut, items)) if not r[5]]
+    return sorted((i, s, len(ids[s : s + 1024]), brute.crc(ids[s : s + 1024]), len(ids)) for (i, _), ids in zip(left, brute.encode([t for _, t in left])) for s in range(0, len(ids), 1024))
+
+
 def test_run(spark, small):
-    path = small[0]
-    assert corpus_pipeline.run(spark, path).columns[:3] == ["doc_id", "start", "length"]
+    path, docs, items = small
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    kept = {r.doc_id for r in toxicity.toxicity(spark.read.parquet(f"{path}/documents.parquet"), labels).collect() if not r.predicted}
+    out = corpus_pipeline.run(spark, path)
+    got = out.collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == expected_run(docs, items, kept)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024
+
+
+def test_run_on_empty_tables_repeated_ids_and_clashing_names(spark, small, tmp_path):
+    path, docs, items = small
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, _id int, component_id long, shingle string"
+    labels, bench = spark.read.parquet(f"{path}/labels.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+
+    def write(name, frame, labels, bench):
+        for n, f in (("documents", frame), ("labels", labels), ("benchmark", bench)):
+            f.write.parquet(f"{tmp_path}/{name}/{n}.parquet")
+        return corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+
+    none = spark.createDataFrame([], schema)
+    assert write("none", none, labels.limit(0), bench.limit(0)).count() == 0
+    rows = [(i, f"text number {(i or 0) % 9} of a few words", "en", "s", 1, "x", i, 0, "y") for i in [*range(20), 3, 3, None, None]] + [(50, None, None, None, None, None, None, None, None)]
+    out = write("odd", spark.createDataFrame(rows, schema), labels.limit(0), bench.limit(0)).collect()
+    groups = brute.simhash([r[:2] for r in rows])
+    assert len({r.doc_id for r in out}) == len(out) == len({c for _, _, c in groups})

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scalecluster.llm import decontaminate, packing, rlz, sharding, simhash, tokenstore
 from scalecluster.llm.textkit import NOT_SPACE, Words, shingle_hashes
@@ -70,6 +71,71 @@ def test_factors_cover_what_is_removed(docs_frame, odd_docs):
     assert {k: len(v) for k, v in lost.items()} == expected
 
 
+def test_factors_are_copies_of_their_blocks(docs_frame, odd_docs):
+    words = {i: brute.SPACE_WORD.findall(t or "") for i, t in odd_docs if i not in (None, 5, 90)}
+    found = rlz.factors(docs_frame.filter("doc_id not in (5, 90)")).collect()
+    assert len(found) > 20
+    for r in found:
+        assert words[r.doc_id][r.start : r.start + r.length] == words[r.owner][r.owner_start : r.owner_start + r.length]
+
+
+@pytest.mark.parametrize("run, combined", [(2, 1 << 21), (32, 40)])
+def test_substring_dedup_whatever_is_combined(monkeypatch, docs_frame, odd_docs, run, combined):
+    monkeypatch.setattr(rlz, "RUN", run)
+    monkeypatch.setattr(rlz, "COMBINED", combined)
+    same(rows(rlz.digest(docs_frame), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring_dedup(odd_docs))
+
+
+def test_substring_dedup_of_texts_that_share_some_of_their_runs(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    base = [r.choice(words) for _ in range(400)]
+    docs = []
+    for i in range(60):  # overlapping pieces, some with a word changed or a loop of one word
+        a = r.randrange(360)
+        text = base[a : a + r.randrange(10, 40)]
+        if i % 3 == 0:
+            text[r.randrange(len(text))] = "changed"
+        if i % 7 == 0:
+            text = text[:5] + ["loop"] * r.randrange(12, 90) + text[5:]
+        docs.append((r.randrange(10**6), " ".join(text)))
+    got = rows(rlz.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    expected = brute.substring_dedup(docs)
+    assert sum(x[2] > 0 for x in expected) > 20
+    same(got, expected)
+
+
+INTERNAL = ["_id", "_text", "_row", "_doc", "_runs", "_windows", "_anchors", "_place", "_fingerprint", "fingerprint", "root", "component_id", "_key", "_item", "_n", "n_bytes", "bits", "cell", "leaf", "id", "role", "key", "owner"]
+
+
+def test_columns_named_like_the_operators_own(spark, tmp_path):
+    docs = [(i, f"some words of text {i % 3} " * 8 + ("and an item that is leaked here" if i == 4 else ""), *[f"{n}{i}" for n in INTERNAL]) for i in range(8)] + [(3, None, *[None] * len(INTERNAL))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in INTERNAL))
+    bench = spark.createDataFrame([(1, "an item that is leaked here", "x")], "item_id long, text string, _key string")
+    same([r[:2] for r in rows(simhash.near_duplicates(frame), "doc_id", "component_id")], [(i, c) for i, _, c in brute.simhash([d[:2] for d in docs])])
+    kept = rows(simhash.representatives(frame), *frame.columns)
+    assert len(kept) == len({c for _, _, c in brute.simhash([d[:2] for d in docs])}) and set(kept) <= set(docs)
+    out = rlz.remove_duplicates(frame)
+    assert out.columns == frame.columns
+    same([r[:1] + r[2:] for r in rows(out, *frame.columns)], [d[:1] + d[2:] for d in docs])
+    for block in (1 << 20, 1):
+        same(rows(decontaminate.remove_contaminated(frame, bench, block_bytes=block), *frame.columns), [d for d in docs if d[0] != 4])
+    sharding.write_shards(frame, str(tmp_path / "shards"), limit=300)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    same([r[:-1] for r in rows(back, *frame.columns, "shard")], docs)
+    with pytest.raises(ValueError):
+        sharding.write_shards(frame, str(tmp_path / "other"), by="Bits")
+    same(rows(rlz.digest(frame), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring_dedup([d[:2] for d in docs]))
+    assert sharding.assign(frame).count() == tokenstore.round_trip(frame).count() == len(docs) and packing.pack(frame).count() >= len(docs)
+
+
+def test_shards_of_equal_ids_keep_to_the_limit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x" * 100)] * 50 + [(None, "y" * 60)] * 40, "doc_id long, text string")
+    sharding.write_shards(docs, str(tmp_path / "s"), limit=1000)
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert out.count() == 90 and out.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).agg(F.max("b")).first()[0] <= 1000
+
+
 def test_remove_duplicates_keeps_columns_and_untouched_texts(docs_frame, odd_docs, no_docs):
     out = rlz.remove_duplicates(docs_frame)
     assert out.schema == docs_frame.schema and out.count() == docs_frame.count()
@@ -111,6 +177,29 @@ def test_hot_ball_is_split(monkeypatch):
     assert len(np.unique(simhash.local_roots(len(fps), np.searchsorted(fps, u), np.searchsorted(fps, v)))) == 1
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 2, 0])
+def test_representatives_of_null_and_equal_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", bound)
+    say = lambda k: " ".join(f"{k}{j}" for j in range(30))
+    docs = [(1, say("a")), (None, say("a")), (4, say("b")), (4, say("c")), (4, say("b")), (None, say("d")), (None, say("d")), (7, None), (8, ""), (None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    same(rows(simhash.representatives(frame), "doc_id", "text"), [(1, say("a")), (4, say("b")), (4, say("c")), (None, say("d")), (7, None)])
+    assert simhash.representatives(frame.limit(0)).count() == 0
+
+
+def test_crowded_buckets_are_dealt_further(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_PRINTS", 40)
+    r = np.random.Generator(np.random.PCG64(9))
+    flip = lambda n: np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (n, 3)).astype(np.uint64), axis=1)
+    fps = np.unique(np.concatenate([np.uint64(0xF0F0F0F0F0F0F0F0) ^ flip(300), r.integers(0, 2**63, 50, dtype=np.uint64)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fingerprint long")
+    got = simhash.links(frame, 4).collect()
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    u, v = (np.array([at[r[k]] for r in got]) for k in (0, 1))
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    assert (simhash.local_roots(len(fps), u, v) == simhash.local_roots(len(fps), i, j)).all()
+
+
 def test_representatives(docs_frame):
     kept = simhash.representatives(docs_frame)
     assert kept.columns == docs_frame.columns
@@ -138,6 +227,32 @@ def test_token_store(docs_frame, odd_docs, no_docs, spark, tmp_path):
     same(unique(again), unique(expected))
 
 
+def test_lookup_reads_only_the_shards_that_may_hold_a_key(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(0, 800, 2)] + [(None, "none"), (None, "other")], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    tokenstore.write(docs, path, shard_ids=1000, task_bytes=8000)
+    every = spark.read.parquet(path + "/shards").count()
+    some = spark.createDataFrame([(100,), (101,), (5000,), (None,)], "doc_id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = tokenstore.lookup(spark, path, some)
+        got = sorted((r.doc_id is not None, r.doc_id or 0, len(r.ids)) for r in found.collect())
+        read = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [x[:2] for x in got] == [(False, 0), (False, 0), (True, 100)] and found.filter("doc_id = 100").first().ids == brute.encode(["text number 100 " * 20])[0]
+    assert every > 8 and 1 <= read <= 3
+    assert tokenstore.lookup(spark, path, some.filter("doc_id = 5000")).count() == 0
+    known = tokenstore.manifest(spark, path).orderBy("start").collect()
+    assert [r.start for r in known] == np.cumsum([0] + [r.n_ids for r in known])[:-1].tolist() and sum(r.n_docs for r in known) == 402
+
+
+def test_starts_are_joined_when_shards_are_many(spark, docs_frame, monkeypatch):
+    before = rows(tokenstore.round_trip(docs_frame.filter("doc_id not in (5, 90)")), "doc_id", "start", "n_tokens", "ids_crc32")
+    monkeypatch.setattr(tokenstore, "BROADCAST_SHARDS", 0)
+    assert rows(tokenstore.round_trip(docs_frame.filter("doc_id not in (5, 90)")), "doc_id", "start", "n_tokens", "ids_crc32") == before
+
+
 def test_minimal_hash():
     keys = np.unique(np.random.Generator(np.random.PCG64(1)).integers(0, 2**63, 5000, dtype=np.uint64))
     for n in (0, 1, 2, 5000):
