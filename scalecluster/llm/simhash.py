@@ -276,7 +276,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")).alias("_first"))
     kept = materialise(first.select(F.col("_first._place").alias("_place")), "kept")
     n = kept.count()
-    if n <= BROADCAST_IDS:
+    if n <= min(total - n, BROADCAST_IDS):
         out = marked.join(F.broadcast(kept), "_place", "left_semi")
     elif total - n <= BROADCAST_IDS:
         out = marked.join(F.broadcast(materialise(prints.select("_place").join(kept, "_place", "left_anti"), "dropped")), "_place", "left_anti")
