@@ -24,6 +24,8 @@ from tokenizers import Tokenizer
 from .textkit import hash_spans, spans, utf8
 
 END_ID = 0
+#: What byte-level vocabularies write for a space.
+SPACE_MARK = "\u0120"
 CACHE_ENTRIES = 500_000
 #: Text bytes that are encoded at a time.
 ENCODE_BYTES = 2 << 20
@@ -43,22 +45,32 @@ LINE_END[0x09:0x0E] = True
 class PartEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        if not str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False"):
+            raise ValueError("parts are cut as the byte-level pre-tokenizer cuts them; the vocabulary has another")
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("added tokens that take in spaces or need word bounds can't be parts")
         longest = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.model = self.tokenizer.model
         self.added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)  # the hashes known, ascending, and their places
         self.ids = np.empty(1 << 16, np.uint32)
         self.offsets = np.zeros(1 << 16, np.int64)
         self.n_ids = 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = len(self.slots)
+    def _add(self, hashes: np.ndarray, texts: list[str], words: list[bool]) -> None:
+        """Takes in parts by their ascending hashes.  A part that is an ASCII word,
+        a space before it or not, is a single piece of the pre-tokenizer, so the
+        model alone encodes it."""
+        tokenize = self.model.tokenize
+        encoded: list[list[int]] = [[t.id for t in tokenize(x.replace(" ", SPACE_MARK, 1))] if word else [] for x, word in zip(texts, words)]
+        others = [i for i, word in enumerate(words) if not word]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)):
+            encoded[i] = e.ids
+        n = len(self.keys)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
         while self.n_ids + len(flat) > len(self.ids):
@@ -68,7 +80,14 @@ class PartEncoder:
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         self.offsets[n + 1 : n + 1 + len(encoded)] = self.n_ids + np.cumsum(lengths)
         self.n_ids += len(flat)
-        self.slots.update(zip(hashes, range(n, n + len(encoded))))
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.slots = np.insert(self.keys, at, hashes), np.insert(self.slots, at, np.arange(n, n + len(hashes)))
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ascending hashes are or would be among the keys, and which are there."""
+        at = np.searchsorted(self.keys, hashes)
+        inside = np.minimum(at, max(len(self.keys) - 1, 0))
+        return inside, (self.keys[inside] == hashes) if len(self.keys) else np.zeros(len(hashes), dtype=bool)
 
     def _added_spans(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
         """(2, matches): starts and ends of added tokens, none across rows."""
@@ -101,18 +120,17 @@ class PartEncoder:
         cut[len(data)] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        if len(self.slots) > CACHE_ENTRIES:
+        if len(self.keys) > CACHE_ENTRIES:
             self._reset()
         hashes, first, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        found = [self.slots.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(found) if s < 0]
-        if new:
-            at = first[new]
-            self._add([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            for i in new:
-                found[i] = self.slots[keys[i]]
-        slot = np.array(found, dtype=np.int64)[inverse]
+        new = np.flatnonzero(~self._find(hashes)[1])
+        if len(new):
+            a, b = starts[first[new]], ends[first[new]]
+            letters = np.concatenate([[0], np.cumsum(LETTER[data])])
+            gap = data[a] == 0x20
+            word = (letters[b] - letters[a] == b - a - gap) & (b - a > gap)
+            self._add(hashes[new], [raw[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist())], word.tolist())
+        slot = self.slots[self._find(hashes)[0]][inverse] if len(hashes) else np.empty(0, np.int64)
         lengths = self.offsets[slot + 1] - self.offsets[slot]
         part_first = np.searchsorted(starts, offsets)
         before = np.concatenate([[0], np.cumsum(lengths)])[part_first]
