@@ -244,6 +244,15 @@ def sd_cluster_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sd(_lineitem(spark, sf_dir), 2, (4, 6, 8, 10), True).summary()
 
 
+@query(f"""WITH RECURSIVE {_graph_sql(LINE_XY, 2, [4, 6, 8, 10])}
+SELECT CAST(n.scale AS INTEGER) AS scale, l.label AS cluster, CAST(sum(n.items) AS BIGINT) AS items
+FROM nodes n JOIN labels l ON l.scale = n.scale AND l.node = n.code GROUP BY ALL""")
+def sd_items_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item is joined with its labels, then they are counted."""
+    items = _sd(_lineitem(spark, sf_dir), 2, (4, 6, 8, 10), True).items()
+    return items.groupBy("scale", "cluster").agg(F.count("item_id").alias("items"))
+
+
 EVENTS = "SELECT event_id AS item_id, value AS x0 FROM events"
 
 
