@@ -57,7 +57,7 @@ ANCHOR = 5
 #: Windows of a run at most.
 RUN = 32
 #: Rows that a task combines at a time, at most about.
-COMBINED = 1 << 21
+COMBINED = 1 << 19
 #: What a row of an index phase is: to be looked up, known to be shared by more
 #: rows of its task, or an answer that the task could give itself.
 ASKS, MARKS, ANSWERS = 0, 1, 2

@@ -39,8 +39,8 @@ from .textkit import NOT_SPACE, Words, pieces, spans
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Variants that a task should hold at a time.
-TASK_VARIANTS = 1 << 21
+#: Variants that a bucket should have, and those that are sorted at a time (28 bytes each).
+TASK_VARIANTS, SORTED_VARIANTS = 1 << 21, 1 << 20
 #: Fingerprints that a bucket may have before it is dealt out further.
 BUCKET_PRINTS = 1 << 20
 #: Numbers of rows that are broadcast (8 MB); more are joined.
@@ -132,7 +132,7 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int) -> tuple[
         sizes = np.array([len(ball_masks_cached(free, k)) for k in range(half + 1)])
         if len(at) < 2:
             return
-        if sizes[left].sum() > 4 * TASK_VARIANTS and free > 16:
+        if sizes[left].sum() > SORTED_VARIANTS and free > 16:
             bit = U64(1) << U64(free - 1)
             for side in (U64(0), bit):
                 here = (value & bit) == side

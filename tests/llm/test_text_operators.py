@@ -170,7 +170,7 @@ def test_ball_hashing_loses_no_link():
 
 
 def test_hot_ball_is_split(monkeypatch):
-    monkeypatch.setattr(simhash, "TASK_VARIANTS", 2000)
+    monkeypatch.setattr(simhash, "SORTED_VARIANTS", 8000)
     r = np.random.Generator(np.random.PCG64(5))
     fps = np.unique(np.uint64(1 << 40) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)))
     u, v = map(np.concatenate, zip(*(simhash.bucket_links(fps, q, 4, 4) for q in range(16))))
