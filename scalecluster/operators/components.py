@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialise
+from ..scratch import discard, materialise, small_files
 from ..session import ship_package
 from .skew import join_counted
 
@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, by: list[str] | None = None, max_roun
     for _ in range(max_rounds):
         before = now
         for large in (True, False):
-            old, current = current, materialise(_star(current, by, large, now[0]), "star")
+            old, current = current, materialise(small_files(_star(current, by, large, now[0]), now[0]), "star")
             discard(old)
         now = state()
         if now == before:

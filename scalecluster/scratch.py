@@ -71,6 +71,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_files(df: DataFrame, rows: int, task_rows: int = 50_000) -> DataFrame:
+    """``df`` of about ``rows`` small rows in a task for each ``task_rows`` of them, 8 at
+    least, so that a table isn't written as a file for each of many partitions."""
+    return df.coalesce(max(8, rows // task_rows))
+
+
 def mark() -> int:
     """A moment, for ``release``."""
     return len(_written)
