@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components, local_roots
 from ..operators.skew import join_counted
-from ..scratch import discard, materialise
+from ..scratch import discard, materialise, small_files
 from ..session import map_arrow, ship_package
 from .textkit import NOT_SPACE, Words, pieces, spans
 
@@ -228,14 +228,14 @@ def _named(prints: DataFrame, radius: int) -> tuple[DataFrame, int]:
     and ``_n`` the number of rows, and the number of all rows."""
     distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("_n")), "distinct")
     size = distinct.agg(F.count(F.lit(1)).alias("prints"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
-    edges = materialise(links(distinct.select("fingerprint"), radius, size.prints), "links")
+    edges = materialise(small_files(links(distinct.select("fingerprint"), radius, size.prints), size.prints), "links")
     found = connected_components(edges).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
-    roots = materialise(distinct.join(found, "fingerprint", "left"), "roots")
+    roots = materialise(small_files(distinct.join(found, "fingerprint", "left"), size.prints), "roots")
     linked = roots.filter("root is not null")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
     linked = join_counted(linked.select("fingerprint", "root", "_n"), least, ["root"], size.prints, "_prints")
     alone = roots.filter("root is null").select(F.col("fingerprint").alias("root"), "fingerprint", "_n", F.col("least_id").alias("component_id"))
-    named = materialise(linked.unionByName(alone), "named")
+    named = materialise(small_files(linked.unionByName(alone), size.prints), "named")
     discard(distinct, edges, roots)
     return named, size.rows
 
@@ -274,7 +274,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named, total = _named(prints, radius)
     groups = join_counted(prints, named, ["fingerprint"], total)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place")).alias("_first"))
-    kept = materialise(first.select(F.col("_first._place").alias("_place")), "kept")
+    kept = materialise(small_files(first.select(F.col("_first._place").alias("_place")), total), "kept")
     n = kept.count()
     if n <= min(total - n, BROADCAST_IDS):
         out = marked.join(F.broadcast(kept), "_place", "left_semi")
