@@ -117,15 +117,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
-    """``df`` shuffled once and written in buckets of ``column``: joins and
-    groups on it then move the other side only."""
+def bucketed(df: DataFrame, label: str, column: str, grouped: bool = False) -> DataFrame:
+    """``df`` written in buckets of ``column``: joins and groups on it then move
+    the other side only.  Rows are shuffled once for that, unless a grouping by
+    the column has done so."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, label)
     name = "scratch_" + path.rsplit("-", 1)[1]
+    rows = df if grouped else df.repartition(n, column)
     with _freeing(spark):
-        df.repartition(n, column).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(n, column).saveAsTable(name)
+        rows.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(n, column).saveAsTable(name)
     out = spark.table(name)
     out._scratch_path = path
     _tables[path] = name
