@@ -283,20 +283,27 @@ def _suspects(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """``(_doc, _anchors)``: each document's minimisers that another row has, too."""
     rows = materialise(anchors(docs, window, anchor), "anchors")
     # one row a task for each anchor, and one more for those that it has seen twice
-    seen = F.sum(F.when(F.col("role") == MARKS, 2).otherwise(1)).over(Window.partitionBy("anchor"))
-    asked = rows.filter(F.col("role") != ANSWERS).withColumn("_n", seen).filter((F.col("_n") > 1) & (F.col("role") == ASKS))
+    seen = F.sum(F.when(F.col("id").isNull(), 2).otherwise(1)).over(Window.partitionBy("anchor"))
+    asked = rows.filter(F.col("role") != ANSWERS).select("anchor", F.when(F.col("role") == ASKS, F.col("id")).alias("id"))
+    asked = asked.withColumn("_n", seen).filter((F.col("_n") > 1) & F.col("id").isNotNull())
     shared = asked.select("id", "anchor").unionByName(rows.filter(F.col("role") == ANSWERS).select("id", "anchor"))
-    suspects = materialise(shared.groupBy(F.col("id").alias("_doc")).agg(F.collect_set("anchor").alias("_anchors")), "suspects")
+    suspects = bucketed(shared.groupBy(F.col("id").alias("_doc")).agg(F.collect_set("anchor").alias("_anchors")), "suspects", "_doc", grouped=True)
     discard(rows)
     return suspects
 
 
-def _answers(rows: DataFrame) -> DataFrame:
-    """``(id, entry)`` of rows of ``combined_places``: where a smaller id has the key."""
+def _asked(rows: DataFrame, *more: str) -> DataFrame:
+    """``(key, id, *more, _first struct<id, place>)`` of the rows to be looked up:
+    where the least id has the key, null if that is the row's own."""
     first = F.min(F.struct("id", "place")).over(Window.partitionBy("key", "check"))  # one row a task
-    asked = rows.filter(F.col("role") == ASKS).withColumn("_first", first).filter(F.col("_first.id") < F.col("id"))
+    asked = rows.filter(F.col("role") == ASKS).withColumn("_first", first)
+    return asked.select("key", "id", *more, F.when(F.col("_first.id") < F.col("id"), F.col("_first")).alias("_first"))
+
+
+def _answers(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(id, entry)``: where a smaller id has the key."""
     told = rows.filter(F.col("role") == ANSWERS)
-    return asked.select("id", _entry("_first.id", "_first.place")).unionByName(told.select("id", _entry("owner", "owner_place")))
+    return asked.filter("_first is not null").select("id", _entry("_first.id", "_first.place")).unionByName(told.select("id", _entry("owner", "owner_place")))
 
 
 def _entry(owner, place) -> Column:
@@ -305,7 +312,7 @@ def _entry(owner, place) -> Column:
 
 
 def _listed(entries: DataFrame, name: str) -> DataFrame:
-    return materialise(entries.groupBy(F.col("id").alias("_doc")).agg(F.collect_list("entry").alias(name)), name.strip("_"))
+    return bucketed(entries.groupBy(F.col("id").alias("_doc")).agg(F.collect_list("entry").alias(name)), name.strip("_"), "_doc", grouped=True)
 
 
 def _runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -316,28 +323,27 @@ def _runs(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     rows = materialise(shared_runs(marked, window, anchor), "runs")
     discard(suspects)
     kinds = rows.schema
-    asks = rows.filter(F.col("role") == ASKS)
+    asked = materialise(_asked(rows, "anchor"), "asked-runs")
+    own = asked.filter("_first is null").select("id", "key", "anchor")
     # anchors with several runs; the minimum and maximum are partially aggregated
-    varied = asks.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a < _b").select("anchor", "_n")
-    first = F.min("id").over(Window.partitionBy("key", "check"))
-    own = asks.withColumn("_first", first).filter(F.col("_first") == F.col("id")).select("id", "key", "anchor")
+    varied = own.groupBy("anchor").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a < _b").select("anchor", "_n")
     none = (F.lit(None).cast(kinds["owner"].dataType), F.lit(None).cast("int"))
-    open_ = join_counted(own, varied, ["anchor"], asks.count()).select("id", _entry(*none))
-    listed = _listed(_answers(rows).unionByName(open_), "_runs")
-    discard(rows)
+    open_ = join_counted(own, varied, ["anchor"], own.count()).select("id", _entry(*none))
+    listed = _listed(_answers(asked, rows).unionByName(open_), "_runs")
+    discard(rows, asked)
     return listed
 
 
-def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(_doc, _runs, _windows)``, arrays of struct<key, owner, place>, of the
-    documents that have runs or windows of a smaller id; docs has ``_id, _text`` in buckets of ids."""
+def owners(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """``(_doc, _runs)`` and ``(_doc, _windows)``, arrays of struct<key, owner,
+    place>, of the documents that have runs or windows of a smaller id, in
+    buckets of ids as docs (``_id, _text``) is."""
     runs = _runs(docs, window, anchor)
     marked = docs.join(runs.filter(F.exists("_runs", lambda r: r["owner"].isNull())), docs["_id"] == F.col("_doc")).select("_id", "_text", "_runs")
     rows = materialise(open_windows(marked, window, anchor), "windows")
-    windows = _listed(_answers(rows), "_windows")
+    windows = _listed(_answers(_asked(rows), rows), "_windows")
     discard(rows)
-    owned = runs.withColumn("_runs", F.filter("_runs", lambda r: r["owner"].isNotNull()))
-    return owned.join(windows, "_doc", "full").filter("_windows is not null or size(_runs) > 0")
+    return runs.withColumn("_runs", F.filter("_runs", lambda r: r["owner"].isNotNull())), windows
 
 
 class Parse:
@@ -382,10 +388,11 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: in
     """``run`` over batches of ``(_id, _text[, _row], _runs, _windows)`` of all rows."""
     some, rest = texts_by_id(docs, id_col, text_col, whole)
     texts = some.select("_id", F.col("_row").getField(text_col).alias("_text") if whole else "_text")
-    owned = owners(texts, window, anchor)
     every = some.select(*rest.columns) if not whole else some.select("_id", F.col("_row").getField(text_col).alias("_text"), "_row")
-    joined = every.join(owned, every["_id"] == owned["_doc"], "left").drop("_doc")
-    none = {name: F.lit(None).cast(owned.schema[name].dataType) for name in ("_runs", "_windows")}
+    joined = every
+    for owned in owners(texts, window, anchor):
+        joined = joined.join(owned, joined["_id"] == owned["_doc"], "left").drop("_doc")
+    none = {name: F.lit(None).cast(joined.schema[name].dataType) for name in ("_runs", "_windows")}
     return joined.transform(map_arrow, run, schema).unionByName(rest.withColumns(none).transform(map_arrow, run, schema))
 
 
