@@ -67,18 +67,25 @@ def connected_components(edges: DataFrame, by: list[str] | None = None, max_roun
     return current.select(*by, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n nodes, by hooking and pointer jumping."""
-    root = np.arange(n)
+def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of each a and b, in place, by hooking and pointer jumping;
+    before and after ``root`` has the least index of each node's tree."""
     while True:
         ra, rb = root[a], root[b]
         open_ = ra != rb
         if not open_.any():
-            return root
+            return
         a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
         while not (root[root] == root).all():
-            root = root[root]
+            root[:] = root[root]
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index reachable from each of n nodes."""
+    root = np.arange(n)
+    hook(root, a, b)
+    return root
 
 
 def grouped_components(edges: DataFrame, by: list[str], local_edges: int = 1_000_000) -> DataFrame:

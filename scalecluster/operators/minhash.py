@@ -51,6 +51,12 @@ def bands(sigs: DataFrame, functions: int, n_bands: int) -> DataFrame:
     return sigs.select("item_id", F.posexplode(parts).alias("band", "key")).select("band", "key", "item_id")
 
 
+def bucket_pairs(banded: DataFrame) -> int:
+    """How many rows ``candidates`` without a limit compares, copies of a pair included."""
+    sizes = banded.groupBy("band", F.xxhash64("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return int(sizes.agg(F.sum(F.expr("_n * (_n - 1) / 2"))).first()[0] or 0)
+
+
 def candidates(banded: DataFrame, hub_limit: int | None = 5) -> DataFrame:
     """``(u, v)``, u < v: pairs that share a band's key, each once.  With a
     limit only a bucket's first items (by id) are paired with its members, so

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalise
-from ..operators import minhash, sdcode, stats
+from ..operators import blocks, minhash, sdcode, stats
 from ..operators.components import grouped_components
 from ..scratch import materialise
 from .config import ClusterConfig
@@ -172,14 +172,27 @@ def run_min(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 
-def _weber_pairs(items: DataFrame, d: int, weber: float, d0: float, scales: list[int] | None, config: ClusterConfig) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
-    """Signatures, pairs scored without a hub limit, and the ladder from d0."""
+#: Pairs in buckets for each item up to which ``run_gaussian`` writes pairs as rows.
+PAIRS_AN_ITEM = 64
+
+
+def _weber_signatures(items: DataFrame, d: int, weber: float, d0: float, scales: list[int] | None, config: ClusterConfig) -> tuple[DataFrame, list[tuple[int, float]], bool]:
+    """Signatures, the ladder from d0, and whether buckets have too many pairs for rows."""
     every = list(enumerate(stats.similarity_ladder(d, weber, d0)))
     ladder = [(s, t) for s, t in every if scales is None or s in scales]
     sigs = materialise(minhash.signatures(min_bits(items, config, d), d, config.hash_functions, config.seed), "signatures")
+    dense = bool(ladder) and minhash.bucket_pairs(minhash.bands(sigs, config.hash_functions, config.bands)) > PAIRS_AN_ITEM * sigs.count()
+    return sigs, ladder, dense
+
+
+def _weber_pairs(sigs: DataFrame, ladder: list[tuple[int, float]], config: ClusterConfig) -> DataFrame:
+    """Pairs scored without a hub limit."""
     pairs = minhash.candidates(minhash.bands(sigs, config.hash_functions, config.bands), None)
-    scored = minhash.scored_pairs(pairs, sigs, config.hash_functions, min((t for _, t in ladder), default=2.0))
-    return sigs, materialise(scored, "scored"), ladder
+    return materialise(minhash.scored_pairs(pairs, sigs, config.hash_functions, min(t for _, t in ladder)), "scored")
+
+
+def _codes(sigs: DataFrame, d: int, config: ClusterConfig) -> DataFrame:
+    return materialise(blocks.coded(sigs, d, config.hash_functions, config.bands, config.seed), "codes")
 
 
 #: Signatures of the runs below: 128 functions, as many bands as find pairs of a similarity of 0.4.
@@ -189,20 +202,28 @@ WEBER_CONFIG = ClusterConfig(model="MIN", hash_functions=128, bands=32, hub_limi
 def run_highd(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0, scales: list[int] | None = None, config: ClusterConfig = WEBER_CONFIG) -> DataFrame:
     """``(scale, item_id, cluster)`` by signatures, all pairs of a band's bucket
     included; scale s = 0, 1, ... has the threshold (1 + weber)^s / d, at most 1."""
-    sigs, scored, ladder = _weber_pairs(items, d, weber, d0, scales, config)
+    sigs, ladder, _ = _weber_signatures(items, d, weber, d0, scales, config)
     if not ladder:
         return _none(items)
-    edges = minhash.ladder_edges(scored, ladder)
+    edges = minhash.ladder_edges(_weber_pairs(sigs, ladder, config), ladder)
     return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 
 def run_gaussian(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0, scales: list[int] | None = None, width: float = 0.1, config: ClusterConfig = WEBER_CONFIG) -> DataFrame:
     """As ``run_highd``, but of an item's neighbours at a scale only those stay
     that ``gaussian_prune`` keeps by the cosine of the vectors."""
-    sigs, scored, ladder = _weber_pairs(items, d, weber, d0, scales, config)
+    sigs, ladder, dense = _weber_signatures(items, d, weber, d0, scales, config)
     if not ladder:
         return _none(items)
     unit = normalise(items.select("item_id", "vec"))
+    if dense:
+        edges = materialise(blocks.pruned_forest(_codes(sigs, d, config), unit, d, config.hash_functions, config.bands, ladder, width), "edges")
+    else:
+        edges = _pruned_edges(_weber_pairs(sigs, ladder, config), unit, ladder, width)
+    return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
+
+
+def _pruned_edges(scored: DataFrame, unit: DataFrame, ladder: list[tuple[int, float]], width: float) -> DataFrame:
     a, b = (unit.select(F.col("item_id").alias(n), F.col("vec").alias(f"_{n}")) for n in ("u", "v"))
     near = materialise(scored.join(a, "u").join(b, "v").select("u", "v", "sim", dot(F.col("_u"), F.col("_v")).alias("cos")), "cosines")
     steps = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(t).alias("least")) for s, t in ladder])
@@ -210,8 +231,7 @@ def run_gaussian(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0,
     own = unit.select(F.explode(F.array(*[F.lit(s) for s, _ in ladder])).alias("scale"), F.col("item_id").alias("src"), F.col("item_id").alias("dst"), dot(F.col("vec"), F.col("vec")).alias("cos"))
     way = lambda src, dst: near.select("scale", F.col(src).alias("src"), F.col(dst).alias("dst"), "cos")
     kept = minhash.gaussian_prune(way("u", "v").unionByName(way("v", "u")).unionByName(own), width, ["scale"])
-    edges = materialise(kept.filter("src <> dst").select("scale", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "edges")
-    return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
+    return materialise(kept.filter("src <> dst").select("scale", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct(), "edges")
 
 
 def run_weber(items: DataFrame, d: int, weber: float = 1.0, span: float = 0.0, scales: list[int] | None = None, local_edges: int = 1_000_000) -> DataFrame:
