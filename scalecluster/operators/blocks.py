@@ -115,6 +115,30 @@ def _sides(key: tuple[pa.Scalar, ...], table: pa.Table) -> tuple[np.ndarray, np.
     return np.flatnonzero(left), np.flatnonzero(left if same else ~left), same
 
 
+def forest(codes: DataFrame, d: int, functions: int, n_bands: int, ladder: list[tuple[int, float]]) -> DataFrame:
+    """``(scale, u, v)``: edges with the same components as all pairs that share a
+    band and reach the scale's similarity; at most one an item, scale and pair of blocks."""
+    needs = _needs(functions, ladder)
+    least = min(n for _, n in needs)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = _codes(table, d, functions)
+        roots = {s: np.arange(len(at)) for s, _ in needs}
+        for a, b, n in _near(at, *_sides(key, table)[:2], least, _sides(key, table)[2]):
+            apart = np.zeros(len(a), bool)
+            for s, need in needs:
+                apart |= (n >= need) & (roots[s][a] != roots[s][b])
+            a, b, n = a[apart], b[apart], n[apart]
+            ok = _share_band(at, a, b, n_bands)
+            for s, need in needs:
+                hook(roots[s], a[ok & (n >= need)], b[ok & (n >= need)])
+        return _stars(table.column("item_id").combine_chunks(), roots)
+
+    ship_package(codes.sparkSession)
+    kind = codes.schema["item_id"].dataType.simpleString()
+    return _dealt(codes, codes.count()).applyInArrow(run, f"scale int, u {kind}, v {kind}")
+
+
 class _Nearest:
     """The first ``NEAREST`` neighbours of each of some sources, by cosine, then id; NaN leads."""
 

@@ -172,7 +172,7 @@ def run_min(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 
-#: Pairs in buckets for each item up to which ``run_gaussian`` writes pairs as rows.
+#: Pairs in buckets for each item up to which ``run_highd`` and ``run_gaussian`` write pairs as rows.
 PAIRS_AN_ITEM = 64
 
 
@@ -202,10 +202,13 @@ WEBER_CONFIG = ClusterConfig(model="MIN", hash_functions=128, bands=32, hub_limi
 def run_highd(items: DataFrame, d: int, weber: float = 1.0, d0: float = 0.0, scales: list[int] | None = None, config: ClusterConfig = WEBER_CONFIG) -> DataFrame:
     """``(scale, item_id, cluster)`` by signatures, all pairs of a band's bucket
     included; scale s = 0, 1, ... has the threshold (1 + weber)^s / d, at most 1."""
-    sigs, ladder, _ = _weber_signatures(items, d, weber, d0, scales, config)
+    sigs, ladder, dense = _weber_signatures(items, d, weber, d0, scales, config)
     if not ladder:
         return _none(items)
-    edges = minhash.ladder_edges(_weber_pairs(sigs, ladder, config), ladder)
+    if dense:
+        edges = materialise(blocks.forest(_codes(sigs, d, config), d, config.hash_functions, config.bands, ladder), "edges")
+    else:
+        edges = minhash.ladder_edges(_weber_pairs(sigs, ladder, config), ladder)
     return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 

@@ -24,7 +24,7 @@ def labelled(df):
 
 
 @pytest.mark.parametrize("kind", ["near", "copies"])
-@pytest.mark.parametrize("run", [engine.run_gaussian])
+@pytest.mark.parametrize("run", [engine.run_highd, engine.run_gaussian])
 def test_blocks_find_the_components_of_all_pairs(spark, monkeypatch, kind, run):
     items = spark.createDataFrame(vectors(kind), "item_id long, vec array<double>").repartition(3)
     monkeypatch.setattr(engine, "PAIRS_AN_ITEM", 10**9)
@@ -37,7 +37,7 @@ def test_blocks_find_the_components_of_all_pairs(spark, monkeypatch, kind, run):
     assert labelled(run(texts, D, 0.5, scales=LADDER)) == [(s, f"k{i:05d}", f"k{c:05d}") for s, i, c in expected]
 
 
-@pytest.mark.parametrize("run", [engine.run_gaussian])
+@pytest.mark.parametrize("run", [engine.run_highd, engine.run_gaussian])
 def test_dense_buckets_write_no_pairs_as_rows(spark, monkeypatch, run):
     monkeypatch.setattr(blocks, "LEAST_BLOCKS", 2)
     monkeypatch.setattr(engine, "_weber_pairs", lambda *a: pytest.fail("pairs as rows"))
