@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("scale", "cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -14,17 +16,31 @@ def cluster_members(clusters: DataFrame, names: DataFrame, id_col: str = "item_i
     """``(scale, cluster, part, members)``: the names of each cluster's items, sorted.
 
     A cluster of more than ``chunk`` items is listed in parts of about that
-    many, dealt by a hash of the name, so a list has a bound."""
-    named = clusters.join(names.select(F.col(id_col).alias("item_id"), F.col(name_col).alias("_name")), "item_id")
+    many, so a list has a bound.  Parts are ranges of names: in the order of
+    ``part``, whose numbers may have gaps, they make up the sorted list."""
+    named = clusters.join(names.select(F.col(id_col).alias("item_id"), F.col(name_col).alias("_name")), "item_id").select("scale", "cluster", "_name")
     if clusters.limit(chunk + 1).count() <= chunk:  # no cluster can be larger
         named = named.withColumn("part", F.lit(0).cast("long"))
     else:
-        parts = cluster_sizes(clusters).select("scale", "cluster", F.ceil(F.col("size") / chunk).alias("_parts"))
-        many = F.broadcast(parts.filter("_parts > 1"))  # fewer than one in ``chunk`` rows
-        named = named.join(many, ["scale", "cluster"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("_name"), F.col("_parts")), F.lit(0)))
+        named = materialise(named, "named")
+        sizes = materialise(cluster_sizes(named).filter(F.col("size") > chunk), "sizes")  # fewer than one in ``chunk`` rows
+        large, keys = F.broadcast(sizes.select("scale", "cluster")), ["scale", "cluster"]
+        parts = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // chunk))
+        ranged = named.join(large, keys, "left_semi").repartitionByRange(parts, *keys, "_name").withColumn("part", F.spark_partition_id().cast("long"))
+        named = ranged.unionByName(named.join(large, keys, "left_anti").withColumn("part", F.lit(0).cast("long")))
     return named.groupBy("scale", "cluster", "part").agg(F.sort_array(F.collect_list("_name")).alias("members"))
 
 
+def cluster_texts(members: DataFrame, separator: str = ",") -> DataFrame:
+    """``(scale, cluster, members)``: one text for each cluster, its parts of
+    ``cluster_members`` put together again; null without a name.  A text is
+    a row, so a cluster's names must fit the 2 GB that a row may have."""
+    text = F.when(F.size("members") > 0, F.array_join("members", separator))
+    parts = members.select("scale", "cluster", "part", text.alias("_text")).groupBy("scale", "cluster")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "_text"))), lambda x: x["_text"])
+    return parts.agg(F.when(F.count("_text") > 0, F.array_join(ordered, separator)).alias("members"))
+
+
 def cluster_tags(clusters: DataFrame, labels: DataFrame, least_size: int = 3) -> DataFrame:
     """``(scale, cluster, size, label, n)``: how often each label occurs in the
     clusters of at least ``least_size`` items.  ``labels`` has item_id and label."""

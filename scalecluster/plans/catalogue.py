@@ -300,8 +300,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_members_sql("string_agg(name, ',' ORDER BY name) AS members"))
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _table(spark, sf_dir, "customer")
-    found = evaluate.cluster_members(_customer_clusters(spark, sf_dir), names, "c_custkey", "c_name")
-    return found.select("scale", "cluster", F.array_join("members", ",").alias("members"))
+    return evaluate.cluster_texts(evaluate.cluster_members(_customer_clusters(spark, sf_dir), names, "c_custkey", "c_name"))
 
 
 @query("""WITH src AS (SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS x0, p_retailprice AS x1 FROM part),

@@ -368,6 +368,26 @@ def test_large_clusters_are_listed_in_parts(spark):
     assert sorted(x for r in got for x in r.members) == [f"n{i:02}" for i in range(40)] and all(r.members == sorted(r.members) for r in got)
 
 
+def test_members_of_a_large_cluster_are_one_row(spark, tmp_path):
+    from scalecluster.plans import catalogue
+
+    # two clusters at scale 4, one of them larger than a part of a list; every name occurs twice
+    spark.range(240_000).selectExpr("id AS c_custkey", "format_string('n%06d', id * 7919 % 120000) AS c_name", "0 AS c_nationkey", "if(id < 1000, -900.0d, id % 500 + 0.25d) AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = catalogue.QUERIES["cluster_members"](spark, str(tmp_path)).filter("scale = 4").collect()
+    names = [f"n{i * 7919 % 120_000:06}" for i in range(240_000)]
+    assert sorted(r.members for r in rows) == sorted(",".join(sorted(x)) for x in (names[:1000], names[1000:]))
+
+
+def test_parts_of_members_are_put_together(spark):
+    clusters = spark.range(60).select(F.lit(1).alias("scale"), F.col("id").alias("item_id"), (F.col("id") >= 50).cast("long").alias("cluster"))
+    names = spark.range(60).selectExpr("id AS item_id", "if(id >= 50, null, if(id = 3, '', format_string('n%02d', id * 7 % 20))) AS name").repartition(3)
+    expected = ",".join(sorted("" if i == 3 else f"n{i * 7 % 20:02}" for i in range(50)))
+    for chunk in (7, 100):
+        found = evaluate.cluster_members(clusters, names, chunk=chunk)
+        assert {r.cluster: r.members for r in evaluate.cluster_texts(found).collect()} == {0: expected, 1: None}
+        assert (found.count() > 2) == (chunk == 7)
+
+
 def test_scratch_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     from scalecluster import scratch
 
