@@ -172,8 +172,9 @@ def run_min(items: DataFrame, config: ClusterConfig, d: int) -> DataFrame:
     return label_items(sigs, grouped_components(edges, ["scale"], config.local_edges), [s for s, _ in ladder], config.keep_unmatched)
 
 
-#: Pairs in buckets for each item up to which ``run_highd`` and ``run_gaussian`` write pairs as rows.
-PAIRS_AN_ITEM = 64
+#: Pairs in buckets for each item up to which ``run_highd`` and ``run_gaussian`` write pairs as
+#: rows, which carry a signature of 4 bytes a function through a shuffle.
+PAIRS_AN_ITEM = 4
 
 
 def _weber_signatures(items: DataFrame, d: int, weber: float, d0: float, scales: list[int] | None, config: ClusterConfig) -> tuple[DataFrame, list[tuple[int, float]], bool]:
